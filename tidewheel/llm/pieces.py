@@ -49,7 +49,14 @@ class Pieces:
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.longest = max(map(len, self.id), default=1)
         self.low = min(self.score.values(), default=0.0) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: Lengths of the longer pieces that end in three given characters.
+        self.tails: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 3:
+                self.tails.setdefault(p[-3:], set()).add(len(p))
+        self.ending: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
         #: Pieces in which a space comes before another: then runs of spaces can't be set apart from words.
         self.apart = not any(p.strip(MARK) and p.startswith(MARK * 2) for p in self.id) and not any(MARK in p.lstrip(MARK) for p in self.id)
         self.surface = [b""] * n
@@ -89,42 +96,59 @@ class Pieces:
         return [p for p in parts if p is not None]
 
     def fits(self, a: str, b: str) -> bool:
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        if self.n_pairs >= PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        ok = self.merged(a + b) == ([a, b] if a else [b])
+        self.pairs.setdefault(b, {})[a] = ok
         return ok
 
+    def endings(self, tail: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        """Of words that end in these three characters (fewer at a word's start): lengths of longer pieces that may end
+        there, longest first, and the shorter pieces that do; a character alone is always one."""
+        if (out := self.ending.get(tail)) is None:
+            if len(self.ending) >= PAIRS:
+                self.ending.clear()
+            short = [tail[i:] for i in range(len(tail)) if i == len(tail) - 1 or tail[i:] in self.id]
+            out = self.ending[tail] = (tuple(sorted(self.tails.get(tail, ()), reverse=True)), tuple(short))
+        return out
+
     def paths(self, words: Sequence[str]) -> list[list[str]]:
         """Pieces of each of the sorted words; states of the prefix shared with the word before are reused."""
         out, last = [], ""
         best, piece = [0.0], [""]  # state of each prefix: score (unigram), last piece (None: not reachable)
-        unigram = self.kind == "unigram"
+        unigram, ending, known, pairs, none = self.kind == "unigram", self.ending, self.id, self.pairs, {}
         for word in words:
             same, most = 0, min(len(word), len(last))
             while same < most and word[same] == last[same]:
                 same += 1
             del best[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
+                tail = word[end - 3 if end > 3 else 0 : end]
+                longer, short = ending.get(tail) or self.endings(tail)
+                pieces = [p for n in longer if n <= end and (p := word[end - n : end]) in known] if longer else ()
                 top, own = -np.inf, None
-                for begin in range(max(0, end - self.longest), end):
-                    p = word[begin:end]
-                    known = p in self.id
-                    if not known and begin < end - 1:
-                        continue
-                    if unigram:
-                        if (s := best[begin] + (self.score[p] if known else self.low)) > top:
+                if unigram:
+                    for p in (*pieces, *short):
+                        if (s := best[end - len(p)] + self.score.get(p, self.low)) > top:
                             top, own = s, p
-                    elif (q := piece[begin]) is not None and (self.fits(q, p) if begin else self.merged(p) == [p] if end - begin > 1 else True):
-                        own = p
-                        break
+                else:
+                    for p in (*pieces, *short) if pieces else short:
+                        if (q := piece[end - len(p)]) is not None:
+                            if (ok := pairs.get(p, none).get(q)) is None:
+                                ok = self.fits(q, p)
+                            if ok:
+                                own = p
+                                break
                 best.append(top)
                 piece.append(own)
             path, end = [], len(word)
             while end:
-                path.append(piece[end])
-                end -= len(piece[end])
-            out.append(path[::-1])
+                path.append(p := piece[end])
+                end -= len(p)
+            path.reverse()
+            out.append(path)
             last = word
         return out
 
@@ -179,7 +203,7 @@ def encoded(docs: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, kind)
         for batch in batches:
-            for part, texts in spans(batch, "text"):
+            for part, texts in spans(batch, "text", 4 << 20):
                 ids, counts = m.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 same = [m.decode(ids[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, ends[:-1], ends[1:])]

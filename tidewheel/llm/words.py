@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -18,7 +18,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class WordTable:
     """Words with the ids they stand for. It starts anew beyond so many words, so its memory is bounded; results don't depend on that."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], Iterable[Sequence[int]]], dtype=np.uint32, most: int = 400_000):
+    def __init__(self, encode: Callable[[Sequence[str]], Iterable[Sequence[int]]], dtype=np.uint32, most: int = 700_000):
         self.encode, self.dtype, self.most = encode, dtype, most
         self.clear()
 
@@ -39,9 +39,11 @@ class WordTable:
         flat = list(chain.from_iterable(texts))
         if len(self.at) > self.most:
             self.clear()
-        if new := set(flat).difference(self.at):
-            self.add(sorted(new))
-        idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        idx = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(gone := np.flatnonzero(idx < 0)):
+            words = [flat[i] for i in gone.tolist()]
+            self.add(sorted(set(words)))
+            idx[gone] = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[idx]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         words = np.cumsum([0, *map(len, texts)])
