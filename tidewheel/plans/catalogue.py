@@ -149,7 +149,7 @@ query("pct_log", lambda s, d: A.pct_log(users_full(s, d), 1, U), f"SELECT user_i
 query("pct_symmetric", lambda s, d: A.pct_symmetric(users_full(s, d), 2, U), f"SELECT user_id, t, round(2 * (x - {_LAG.format(n=2)}) / nullif(x + {_LAG.format(n=2)}, 0), 4) AS x FROM uf", "uf")
 
 # statistics
-query("series_stats", lambda s, d: A.stats(users_full(s, d), "x", U).drop("prod"), "SELECT user_id, round(sum(x), 7) AS sum, round(avg(x), 7) AS mean, round(var_pop(x), 7) AS var, round(stddev_pop(x), 7) AS std, count(x) AS count, round(min(x), 7) AS min, round(max(x), 7) AS max, round(max(x) - min(x), 7) AS ptp, arg_min(t, x) AS argmin, arg_max(t, x) AS argmax FROM uf GROUP BY 1", "uf", digits=7)
+query("series_stats", lambda s, d: A.stats(users_full(s, d), "x", U).drop("prod"), "SELECT user_id, round(sum(x), 6) AS sum, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var, round(stddev_pop(x), 6) AS std, count(x) AS count, round(min(x), 6) AS min, round(max(x), 6) AS max, round(max(x) - min(x), 6) AS ptp, arg_min(t, x) AS argmin, arg_max(t, x) AS argmax FROM uf GROUP BY 1", "uf", digits=6)
 query("cumsum", lambda s, d: A.cumsum(users_full(s, d), "x", U), "SELECT user_id, t, round(CASE WHEN x IS NOT NULL THEN sum(x) OVER (PARTITION BY user_id ORDER BY t) END, 4) AS x FROM uf", "uf")
 query("cumprod", lambda s, d: A.cumprod(users_full(s, d).withColumn("x", 1 + F.col("x") / 1e6), "x", U), "SELECT user_id, t, round(CASE WHEN x IS NOT NULL THEN product(1 + x / 1e6) OVER (PARTITION BY user_id ORDER BY t) END, 4) AS x FROM uf", "uf")
 query("anom", lambda s, d: A.anom(users_full(s, d), "x", U), "SELECT user_id, t, round(x - avg(x) OVER (PARTITION BY user_id), 7) + 0.0 AS x FROM uf", "uf", digits=7)
@@ -192,7 +192,7 @@ _PAIR = ", p AS (SELECT t, x, y FROM od JOIN ld USING (t))"
 _pair = lambda s, d: C.with_freq(A.stack(orders_daily(s, d), ship_daily(s, d), check=False), "D")
 query("mov_cov", lambda s, d: M.mov_cov(_pair(s, d), "x", "y", 5).select("t", (F.col("cov") / 1e6).alias("cov")), f"{_PAIR} SELECT t, round(CASE WHEN count(*) OVER w = 5 THEN covar_samp(x, y) OVER w / 1e6 END, 4) + 0.0 AS cov FROM p WINDOW w AS (ORDER BY t ROWS 4 PRECEDING)", "od", "ld", digits=4)
 query("mov_corr", lambda s, d: M.mov_corr(_pair(s, d), "x", "y", 5).select("t", "corr"), f"{_PAIR} SELECT t, round(CASE WHEN count(*) OVER w = 5 THEN covar_pop(x, y) OVER w / nullif(stddev_pop(x) OVER w * stddev_pop(y) OVER w, 0) END, 6) + 0.0 AS corr FROM p WINDOW w AS (ORDER BY t ROWS 4 PRECEDING)", "od", "ld", digits=6)
-query("mov_ewma", lambda s, d: M.mov_average_expw(users_full(s, d), "x", 3, tol=0.6, keys=U), ", recursive_n AS (SELECT user_id, t, x, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM uf), l AS (SELECT user_id, list(struct_pack(x := x) ORDER BY n) AS xs, list(t ORDER BY n) AS ts FROM recursive_n GROUP BY 1) SELECT a.user_id, a.t, round(CASE WHEN 1 - a.e <= 0.6 THEN a.y END, 7) AS x FROM (WITH RECURSIVE e AS (SELECT user_id, n, t, x AS y, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS e FROM recursive_n WHERE n = 1 UNION ALL SELECT r.user_id, r.n, r.t, CASE WHEN r.x IS NULL THEN e.y ELSE coalesce(e.y + 0.5 * (r.x - e.y), r.x) END, e.e + 0.5 * (CASE WHEN r.x IS NULL THEN 0 ELSE 1 END - e.e) FROM e JOIN recursive_n r ON r.user_id = e.user_id AND r.n = e.n + 1) SELECT * FROM e) a", "uf", digits=7)
+query("mov_ewma", lambda s, d: M.mov_average_expw(users_full(s, d), "x", 4, tol=0.6, keys=U), ", recursive_n AS (SELECT user_id, t, x, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM uf) SELECT a.user_id, a.t, round(CASE WHEN 1 - a.e <= 0.6 THEN a.y END, 7) AS x FROM (WITH RECURSIVE e AS (SELECT user_id, n, t, x AS y, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS e FROM recursive_n WHERE n = 1 UNION ALL SELECT r.user_id, r.n, r.t, CASE WHEN r.x IS NULL THEN e.y ELSE coalesce(e.y + 0.4 * (r.x - e.y), r.x) END, e.e + 0.4 * (CASE WHEN r.x IS NULL THEN 0 ELSE 1 END - e.e) FROM e JOIN recursive_n r ON r.user_id = e.user_id AND r.n = e.n + 1) SELECT * FROM e) a", "uf", digits=7)
 query("cmov_mean", lambda s, d: M.cmov_mean(users_full(s, d), "x", 3, keys=U), "SELECT user_id, t, round(CASE WHEN count(x) OVER w = 3 THEN avg(x) OVER w END, 7) AS x FROM uf WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "uf", digits=7)
 for _k in ("hamming", "triang"):
     _ws = [float(v) for v in M.window_weights(_k, 5)]
