@@ -7,9 +7,9 @@ is the same whatever text throws it, and a text of many shingles looks at few ra
 the probability of their (weighted) Jaccard similarity.
 
 ROWS coordinates make a band; texts that agree in a band are candidates. Equal shingle sets are one node first. Buckets
-of at most SMALL nodes give all their pairs. Larger ones are compared with up to LEADERS of their nodes at a time; a
-bucket ends when its remaining nodes are in one class, and nodes that led are done, so no link is lost and no bucket's
-pairs are all made. Every candidate pair is verified on the whole shingle sets; classes are the connected components.
+of at most SMALL nodes give all their pairs. The nodes of larger ones are compared with LEADERS of them; where that
+leaves several classes, the rest is found exactly by prefix shingles, so no link is lost and no bucket's pairs are all
+made. Every candidate pair is verified on the whole shingle sets; classes are the connected components.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from .common import drop_written, read, spans, written
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 4, 20
 SLOTS = ROWS * BANDS
-SMALL, LEADERS = 24, 16
+SMALL, LEADERS = 24, 4
 #: Ids of at most so many rows are broadcast to find their texts; more are joined by shuffle.
 FEW = 500_000
-_FIRST = 8  # the first rank region ends at 2 ** -_FIRST
+_FIRST = 0  # the first rank region ends at 2 ** -_FIRST; texts of a few hundred shingles mostly need no other
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,8 +164,8 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and sorted shingle hashes of the rows of docs with these ids."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and sorted shingle hashes of the rows of docs with these ids; written."""
     few = ids.count() <= FEW
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
@@ -175,13 +175,11 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part, texts in spans(batch, "text"):
                 yield pa.record_batch([part.column(0), pa.array([np.unique(s).tobytes() for s in shingles(texts, words)], pa.binary())], ["id", "set"])
 
-    return rows.mapInArrow(run, "id long, set binary")
+    return written(rows.mapInArrow(run, "id long, set binary"), "sets")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """pairs(a, b) whose sets have a Jaccard similarity of at least similar; written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(docs, ids), "sets")
+def verified(sets: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """pairs(a, b) whose sets(id, set) have a Jaccard similarity of at least similar; written."""
 
     def run(batches):
         for batch in batches:
@@ -195,9 +193,58 @@ def verified(docs: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> Dat
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    out = written(both.mapInArrow(run, "a long, b long").distinct(), "links")
-    drop_written(sets)
-    return out
+    return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def prefixes(sets: DataFrame, similar: float = SIMILAR, few: int = FEW) -> DataFrame:
+    """nid, n, tok and pos: of each set, in the order of their frequency among the sets, the first
+    n - ceil(similar * n) + 1 shingles with their positions, those of one set alone left out; written.
+
+    Sets that are similar enough share one of them at least, and what each has from the first of these on is no less
+    than what they must have in common."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(toks), pa.array(n)], ["tok", "df"])
+
+    shared = written(sets.select("set").mapInArrow(count, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df")).where("df > 1"), "tokens")
+    length = lambda n: n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
+    if shared.count() <= few:
+        own = shared.orderBy("tok").toPandas()
+        sent = sets.sparkSession.sparkContext.broadcast((own["tok"].to_numpy(), own["df"].to_numpy()))
+
+        def run(batches):
+            toks, df = sent.value
+            for batch in batches:
+                ids, sizes, out, at_ = [], [], [], []
+                for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    s = np.frombuffer(b, np.int64)
+                    at = np.minimum(np.searchsorted(toks, s), max(0, len(toks) - 1))
+                    hit = toks[at] == s if len(toks) else np.zeros(len(s), bool)
+                    alone = int((~hit).sum())
+                    if (most := int(length(np.int64(len(s)))) - alone) > 0:
+                        s, at = s[hit], at[hit]
+                        first = s[np.lexsort((s, df[at]))[:most]]
+                        ids += [i] * len(first)
+                        sizes += [len(b) // 8] * len(first)
+                        out += first.tolist()
+                        at_ += range(alone, alone + len(first))
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids, sizes, out, at_)], ["nid", "n", "tok", "pos"])
+
+        return written(sets.select("id", "set").mapInArrow(run, "nid long, n long, tok long, pos long"), "prefixes")
+
+    def each(batches):
+        for batch in batches:
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(b, np.int64)
+                yield pa.record_batch([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s)], ["nid", "n", "tok"])
+
+    held = sets.select("id", "set").mapInArrow(each, "nid long, n long, tok long").join(shared, "tok").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("m"))
+    alone = F.col("n") - F.size("m")
+    most = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - alone
+    first = held.where(most > 0).select("nid", "n", alone.alias("alone"), F.posexplode(F.slice("m", F.lit(1), most.cast("int"))).alias("i", "x"))
+    return written(first.select("nid", "n", F.col("x.tok").alias("tok"), (F.col("alone") + F.col("i")).alias("pos")), "prefixes")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,6 +265,37 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _joined_within(docs: DataFrame, big: DataFrame, label: DataFrame, similar: float) -> DataFrame:
+    """label(nid, comp) after all links inside the buckets of big(h, nid, n).
+
+    Only buckets that still hold several classes matter. Similar sets among their nodes share a prefix shingle, so nodes
+    meet again by these: a group's leaders are compared with its nodes of other classes and are then done; a group ends
+    with one class, or when all of it has led. Leaders are eight times as many each round, so rounds are few.
+    """
+    at = big.join(label, "nid")
+    live = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
+    sets = shingle_sets(docs, at.join(written(live, "live"), "h", "left_semi").select(F.col("nid").alias("id")).distinct())
+    rest, leaders = prefixes(sets, similar), SMALL
+    while True:
+        held = rest.join(label, "nid")
+        live = held.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("tok", "size")
+        held = written(held.join(written(live, "live"), "tok").select("tok", "size", "nid", "n", "pos", "comp"), "rest")
+        if held.limit(1).count() == 0:
+            return label
+        slot = F.when(F.col("size") <= leaders, F.col("nid")).otherwise(F.pmod(F.xxhash64("nid"), F.lit(leaders)))
+        leads = held.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct("nid", "n", "pos", "comp")).alias("l")).select("tok", F.col("l.nid").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("ac"))
+        leads = written(leads, "leads")
+        near = F.least(F.col("n") - F.col("pos"), F.col("an") - F.col("apos")) >= F.lit(similar / (1 + similar)) * (F.col("n") + F.col("an")) - 1e-9
+        pairs = held.join(leads, "tok").where((F.col("ac") != F.col("comp")) & near).select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b"))
+        links = verified(sets, written(pairs.distinct(), "pairs"), similar)
+        of = lambda c: label.select(F.col("nid").alias(c), F.col("comp").alias(f"c{c}"))
+        merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("to"))
+        label = written(label.join(merged, "comp", "left").select("nid", F.coalesce("to", "comp").alias("comp")), "classes")
+        rest = held.select("tok", "nid", "n", "pos").join(leads.select("tok", F.col("a").alias("nid")), ["tok", "nid"], "left_anti")
+        leaders *= 8
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows) and kept (it is that one) for every row.
 
@@ -229,35 +307,25 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "se
     nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("nid"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("nid", F.coalesce("nid", -1 - F.abs(F.shiftright("k1", 1)))), "nodes")
     banded = nodes.select("nid", "n", F.explode("bands").alias("h"))
-    size = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = written(banded.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = written(banded.join(size, "h"), "buckets")
     ratio = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)  # noqa: E731  no smaller set can be that similar
     small = shared.where(F.col("size") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("nid", "n")).alias("m"))
     pairs = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.nid < y.nid").where(ratio(F.col("x.n"), F.col("y.n")))
     pairs = pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
     big = shared.where(F.col("size") > SMALL).select("h", "nid", "n")
-    led = big.groupBy("h").agg(F.min(F.struct("nid", "n")).alias("l"))
-    first = big.join(led, "h").where(F.col("nid") != F.col("l.nid")).where(ratio(F.col("n"), F.col("l.n"))).select(F.col("l.nid").alias("a"), F.col("nid").alias("b"))
-    links = verified(docs, written(pairs.union(first).distinct(), "pairs"), similar)
+    slot = F.pmod(F.xxhash64("nid"), F.lit(LEADERS))
+    leads = big.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("nid", "n")).alias("l")).select("h", "l")
+    led = big.join(leads, "h").where(F.col("nid") != F.col("l.nid")).where(ratio(F.col("n"), F.col("l.n")))
+    pairs = written(pairs.union(led.select(F.least("nid", "l.nid"), F.greatest("nid", "l.nid"))).distinct(), "pairs")
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = verified(sets, pairs, similar)
+    drop_written(sets)
     comp = components(links)
-    rest = written(big.join(led, "h").where(F.col("nid") != F.col("l.nid")).select("h", "nid", "n"), "rest")
-    while True:
-        at = rest.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        live = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-        left = written(at.join(live, "h", "left_semi"), "rest")
-        drop_written(rest)
-        rest = left
-        if rest.limit(1).count() == 0:
-            break
-        slot = F.pmod(F.xxhash64("nid"), F.lit(LEADERS))
-        leads = rest.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("nid", "n", "comp")).alias("l")).select("h", F.col("l.nid").alias("a"), F.col("l.n").alias("an"), F.col("l.comp").alias("ac"))
-        pairs = rest.join(leads, "h").where((F.col("a") != F.col("nid")) & (F.col("ac") != F.col("comp"))).where(ratio(F.col("n"), F.col("an")))
-        pairs = written(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct(), "pairs")
-        more = verified(docs, pairs, similar)
-        links = written(links.union(more).distinct(), "links")
-        comp = components(links)
-        rest = written(rest.select("h", "nid", "n").join(leads.select("h", F.col("a").alias("nid")), ["h", "nid"], "left_anti"), "rest")
-    ids = nodes.select("k1", "k2", "nid", "rows").join(comp, "nid", "left").withColumn("class_id", F.coalesce("comp", "nid"))
+    label = written(nodes.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
+    if big.limit(1).count():
+        label = _joined_within(docs, big, label, similar)
+    ids = nodes.select("k1", "k2", "nid", "rows").join(label.withColumnRenamed("comp", "class_id"), "nid")
     sizes = ids.groupBy("class_id").agg(F.sum("rows").alias("class_size"))
     ids = ids.join(sizes, "class_id").select("k1", "k2", "class_id", "class_size")
     return rows.select("doc_id", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
