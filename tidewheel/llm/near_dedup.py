@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, read, spans, written
+from .common import drop_written, in_arrow, read, spans, written
 
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 4, 20
@@ -49,7 +49,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 class Words(dict):
     def __missing__(self, w: str) -> int:
-        if len(self) > 700_000:
+        if len(self) > 300_000:
             self.clear()
         out = self[w] = xxhash.xxh64_intdigest(w)
         return out
@@ -161,7 +161,7 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
                     keys.append(bands(darts(own, count.astype(float) if weighting == "count" else None)) if len(own) else np.zeros(0, np.int64))
                 yield pa.record_batch([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part, texts in spans(batch, "text"):
                 yield pa.record_batch([part.column(0), pa.array([np.unique(s).tobytes() for s in shingles(texts, words)], pa.binary())], ["id", "set"])
 
-    return written(rows.mapInArrow(run, "id long, set binary"), "sets")
+    return written(in_arrow(rows, run, "id long, set binary"), "sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -193,7 +193,7 @@ def verified(sets: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> Dat
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    return written(in_arrow(both, run, "a long, b long").distinct(), "links")
 
 
 def prefixes(sets: DataFrame, similar: float = SIMILAR, few: int = FEW) -> DataFrame:
@@ -208,7 +208,7 @@ def prefixes(sets: DataFrame, similar: float = SIMILAR, few: int = FEW) -> DataF
             toks, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
             yield pa.record_batch([pa.array(toks), pa.array(n)], ["tok", "df"])
 
-    shared = written(sets.select("set").mapInArrow(count, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df")).where("df > 1"), "tokens")
+    shared = written(in_arrow(sets.select("set"), count, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df")).where("df > 1"), "tokens")
     length = lambda n: n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
     if shared.count() <= few:
         own = shared.orderBy("tok").toPandas()
@@ -232,7 +232,7 @@ def prefixes(sets: DataFrame, similar: float = SIMILAR, few: int = FEW) -> DataF
                         at_ += range(alone, alone + len(first))
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids, sizes, out, at_)], ["nid", "n", "tok", "pos"])
 
-        return written(sets.select("id", "set").mapInArrow(run, "nid long, n long, tok long, pos long"), "prefixes")
+        return written(in_arrow(sets.select("id", "set"), run, "nid long, n long, tok long, pos long"), "prefixes")
 
     def each(batches):
         for batch in batches:
@@ -240,7 +240,7 @@ def prefixes(sets: DataFrame, similar: float = SIMILAR, few: int = FEW) -> DataF
                 s = np.frombuffer(b, np.int64)
                 yield pa.record_batch([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s)], ["nid", "n", "tok"])
 
-    held = sets.select("id", "set").mapInArrow(each, "nid long, n long, tok long").join(shared, "tok").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("m"))
+    held = in_arrow(sets.select("id", "set"), each, "nid long, n long, tok long").join(shared, "tok").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("m"))
     alone = F.col("n") - F.size("m")
     most = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - alone
     first = held.where(most > 0).select("nid", "n", alone.alias("alone"), F.posexplode(F.slice("m", F.lit(1), most.cast("int"))).alias("i", "x"))

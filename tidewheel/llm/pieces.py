@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, spans
+from .common import in_arrow, read, spans
 from .words import WordTable, gather
 
 MARK = "▁"
 _UNITS = re.compile(r" ( *[^ ]*)")
 #: Pairs of pieces whose compatibility a worker remembers before it starts anew.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 class Pieces:
@@ -203,14 +203,14 @@ def encoded(docs: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, kind)
         for batch in batches:
-            for part, texts in spans(batch, "text", 4 << 20):
+            for part, texts in spans(batch, "text"):
                 ids, counts = m.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 same = [m.decode(ids[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, ends[:-1], ends[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column(0), lists, pa.array(counts, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decoded(rows: DataFrame, path: str, kind: str | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def decoded(rows: DataFrame, path: str, kind: str | None = None) -> DataFrame:
             texts = [m.decode(np.array(ids or [], np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_arrow(rows.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def default_model() -> str:

@@ -14,14 +14,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, spans
+from .common import in_arrow, read, spans
 from .learning import held_out, logistic, sample
 
 WORDS = re.compile(r"\w+")
@@ -39,7 +40,7 @@ class Evidence(dict):
         self.word, self.begin = word, begin
 
     def __missing__(self, w: str):
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         f = (self.word.get(w, 0.0), self.begin.get(w[:4], 0.0), self.begin.get(w[:5], 0.0) if len(w) > 4 else 0.0)
         out = self[w] = f if any(f) else None
@@ -105,7 +106,7 @@ class Field:
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
 
-def log_odds(texts: Sequence[set[str]], y: np.ndarray) -> dict[str, float]:
+def log_odds(texts: Iterable[set[str]], y: np.ndarray) -> dict[str, float]:
     """Of document frequencies, smoothed, less 1.3 standard errors; only what speaks for label 1."""
     one, every = Counter(), Counter()
     for words, label in zip(texts, y):
@@ -152,11 +153,11 @@ def gradient(f: np.ndarray, gold: np.ndarray, theta: np.ndarray) -> np.ndarray:
 
 def fit(texts: Sequence[str], y: np.ndarray, share: float, steps: int = 200) -> Field:
     """Without toxic or without other texts, all scores are the share of label 1."""
-    tokens = [WORDS.findall(t.lower()) for t in texts]
+    tokens = [[*map(intern, WORDS.findall(t.lower()))] for t in texts]
     if not 0 < y.sum() < len(y):
         return Field({}, {}, np.array([0.0, 0, 0, -5]), np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    word = log_odds([set(t) for t in tokens], y)
-    begin = log_odds([{w[:n] for w in t for n in (4, 5) if len(w) >= n} for t in tokens], y)
+    word = log_odds((set(t) for t in tokens), y)
+    begin = log_odds(({w[:n] for w in t for n in (4, 5) if len(w) >= n} for t in tokens), y)
     field = Field(word, begin, np.array([1.0, 0.5, 0.5, -3.0]), np.zeros((2, 2)), np.zeros(2), np.zeros(4))
     active = [field.active(t) for t in tokens]
     rows, gold = [], []  # a window from each text's first evidence on
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, field: Field, with_spans: bool = False) -> DataFrame
                     names.append("spans")
                 yield pa.record_batch(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double" + ", spans array<struct<start:int,end:int,p:double>>" * with_spans)
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double" + ", spans array<struct<start:int,end:int,p:double>>" * with_spans)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Field:
@@ -230,7 +231,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
                     keep.append(own.score(len(words), own.marginals(len(words), own.active(words))) < threshold)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

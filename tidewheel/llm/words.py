@@ -18,7 +18,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class WordTable:
     """Words with the ids they stand for. It starts anew beyond so many words, so its memory is bounded; results don't depend on that."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], Iterable[Sequence[int]]], dtype=np.uint32, most: int = 700_000):
+    def __init__(self, encode: Callable[[Sequence[str]], Iterable[Sequence[int]]], dtype=np.uint32, most: int = 200_000):
         self.encode, self.dtype, self.most = encode, dtype, most
         self.clear()
 
