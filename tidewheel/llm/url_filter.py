@@ -43,8 +43,9 @@ def grams(url: Column) -> Column:
     """Codes of each character with the two before it."""
     text = F.regexp_replace(ascii_lower(url), "[0-9]", "9")
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), _code)
-    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes)
-    return F.transform(codes, lambda c, i: (F.get(padded, i) * SYMBOLS + F.get(padded, i + 1)) * SYMBOLS + c)
+    # zipped, not looked up by position: a lambda evaluates what it refers to once an element, which is quadratic
+    before = F.zip_with(F.concat(F.array(F.lit(0), F.lit(0)), codes), F.concat(F.array(F.lit(0)), codes), lambda x, y: x * SYMBOLS + y)
+    return F.filter(F.zip_with(before, codes, lambda xy, c: xy * SYMBOLS + c), lambda g: g.isNotNull())
 
 
 def _code(c: Column) -> Column:
