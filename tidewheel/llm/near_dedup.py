@@ -300,8 +300,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "se
     """doc_id, class_id (smallest doc_id of the class), class_size (rows) and kept (it is that one) for every row.
 
     Null and empty texts, which have no shingle, are one class. Rows without doc_id join rows of the same shingle set
-    only, and a class of such rows alone has a negative class_id. Rows that share a doc_id are versions of one document:
-    their classes are one. Repeated rows with the doc_id that stays are all marked kept. An empty table gives no rows.
+    only, and a class of such rows alone has a negative class_id. Rows that share a doc_id but not their text are judged
+    by their own texts; texts of which that doc_id is the smallest are one class. Repeated rows with the doc_id that stays are all marked kept. An empty table gives no rows.
     """
     rows = written(signed(docs, weighting), "signatures")
     nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("nid"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -322,11 +322,11 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "se
     links = verified(sets, pairs, similar)
     drop_written(sets)
     comp = components(links)
-    label = written(nodes.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
+    label = written(nodes.select("nid").distinct().join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
     if big.limit(1).count():
         label = _joined_within(docs, big, label, similar)
     ids = nodes.select("k1", "k2", "nid", "rows").join(label.withColumnRenamed("comp", "class_id"), "nid")
-    sizes = ids.groupBy("class_id").agg(F.sum("rows").alias("class_size"))
+    sizes = written(ids.groupBy("class_id").agg(F.sum("rows").alias("class_size")), "class-sizes")  # so that Spark can split the join's large classes
     ids = ids.join(sizes, "class_id").select("k1", "k2", "class_id", "class_size")
     return rows.select("doc_id", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
