@@ -1,0 +1,321 @@
+"""Each operator against SQL, brute force or held-out accuracy, and on nulls, empty and long texts, repeats and empty tables."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.compare import same
+from tidewheel.llm import exact_dedup, mixing, near_dedup, pieces, quality, queries, surrogates, token_store, topk, toxicity, url_filter
+from tidewheel.llm.common import read, written
+
+ODD = [(1, "Alice Smith said hello to you all today", "en", "a", 3), (2, None, "en", "a", 0), (3, "", None, None, 0), (4, "alice smith SAID hello to you all today", "en", "b", 3), (4, "one two", "en", "b", 7), (None, "x", "de", "a", 1), (5, "long " * 30000, "en", "c", 150000), (1, "Alice Smith said hello to you all today", "en", "a", 3)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ("size", "target", "kept", "score", "position", "id", "n", "h")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumns({c: F.lit(1) for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text for r in read(spark, sf, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(name, spark, sf, duck):
+    same(queries.QUERIES[name](spark, sf), duck, queries.ORACLE_SQL[name])
+
+
+# 1
+def test_surrogates_are_consistent_and_distinct(spark):
+    a = "Mary Jones, mary.jones@example.org, 555-123-4567. Jones again; card 4111 1111 1111 1111, 10.0.0.7"
+    out = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame([(1, a), (2, "write to MARY.JONES@example.org or Anna Petersen, Иван Петров")], "doc_id long, text string")).collect()}
+    found = [(e.kind, a[e.start : e.end], e.surrogate) for e in out[1].entities]
+    assert {k for k, _, _ in found} == {"given", "surname", "email", "phone", "card", "ip"}
+    by = defaultdict(set)
+    for k, old, new in found:
+        assert old != new
+        by[k, old.lower()].add(new.lower())
+    assert all(len(v) == 1 for v in by.values())
+    given = next(new for k, _, new in found if k == "given")
+    assert given in surrogates.GIVEN["f", "latin"]
+    card = next(new for k, _, new in found if k == "card")
+    assert surrogates.luhn(card.replace(" ", "")) and card[4] == " "
+    mail = next(new for k, _, new in found if k == "email")
+    assert mail.lower() in out[2].text.lower() and mail.upper().split("@")[0] in out[2].text
+    assert any(n in out[2].text for n in surrogates.GIVEN["m", "cyrillic"]) and "Иван" not in out[2].text
+    assert "jones" not in out[1].text.lower() and "4111" not in out[1].text
+
+
+def test_surrogates_do_not_collide(spark):
+    docs = spark.createDataFrame([(i, f"call 555-{100 + i // 100:03d}-{i:04d} or {chr(97 + i % 26)}{i % 7}@x.io") for i in range(2000)], "doc_id long, text string")
+    new = defaultdict(set)
+    for r in surrogates.replaced(docs).collect():
+        for e in r.entities:
+            old = f"call 555-{100 + r.doc_id // 100:03d}-{r.doc_id:04d} or {chr(97 + r.doc_id % 26)}{r.doc_id % 7}@x.io"[e.start : e.end]
+            new[e.kind, e.surrogate].add(old)
+    assert all(len(v) == 1 for v in new.values())
+    assert len({k for k in new if k[0] == "email"}) == 182
+
+
+def test_surrogates_on_odd_rows(odd, none):
+    rows = surrogates.replaced(odd).collect()
+    assert len(rows) == len(ODD) and sum(r.text is None for r in rows) == 1 and surrogates.replaced(none).count() == 0
+
+
+# 2
+def test_mixing_meets_targets(spark, sf):
+    rows = mixing.op2(spark, sf).collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in rows:
+        by[r.source_size, r.target][0] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert all(abs(got - target) <= 1 for (_, target), (got, _) in by.items())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op2(spark, sf).collect()))
+
+
+def test_mixing_schedule(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    out = mixing.curriculum(docs, schedule={"a": [(0, 1.0), (1, 0.0)], "b": [(0, 0.0), (1, 1.0)]}).collect()
+    at = [r.position for r in out]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+    assert np.mean([r.position for r in out if r.source == "a"]) < 0.4 < 0.6 < np.mean([r.position for r in out if r.source == "b"])
+
+
+def test_mixing_on_odd_rows(odd, none):
+    assert mixing.mixed(odd).count() == len(ODD) and mixing.mixed(none).count() == 0 and mixing.curriculum(none).count() == 0
+    assert mixing.curriculum(odd).columns == [*odd.columns, "pass_no", "position"] or mixing.curriculum(odd).count() > 0
+
+
+# 3
+def test_pieces_equal_the_library(spark, sf, texts):
+    import sentencepiece as sp
+
+    m = sp.SentencePieceProcessor(model_file=pieces.default_model())
+    rows = pieces.op3(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        assert r.n_ids == len(r.ids) and r.round_trip
+        if "  " not in t and not t.startswith(" ") and "\n" not in t:
+            assert list(r.ids) == m.encode(t)
+
+
+def test_pieces_prefix_states_equal_merging():
+    m = pieces.model(pieces.default_model())
+    rng = np.random.default_rng(1)
+    words = sorted({"▁" + "".join(rng.choice(list("abcdefinorst"), int(n))) for n in rng.integers(1, 14, 3000)})
+    assert m.paths(words) == [m.merged(w) for w in words]
+
+
+def test_pieces_on_odd_rows(odd, none):
+    rows = pieces.encoded(odd, pieces.default_model())
+    assert [r.n_ids for r in rows.where("doc_id IN (2, 3)").collect()] == [0, 0] and rows.where("NOT round_trip").count() == 0
+    back = {r.doc_id: r.text for r in pieces.decoded(rows.where("doc_id = 5"), pieces.default_model()).collect()}
+    assert back[5] == "long " * 30000 and pieces.encoded(none, pieces.default_model()).count() == 0
+
+
+# 4
+def test_exact_dedup_on_odd_rows(odd, none):
+    rows = exact_dedup.exact_groups(odd).collect()
+    assert len(rows) == len(ODD)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in rows if r.doc_id == 1} == {(1, 4, 3)}
+    assert {r.keep_id for r in rows if r.doc_id in (2, 3)} == {3}
+    assert exact_dedup.deduplicated(odd).count() == 5 and exact_dedup.deduplicated(none).count() == 0
+
+
+def test_chunks_make_up_the_text(spark):
+    t = "".join(chr(97 + i * i % 26) + " " * (i % 5 == 0) for i in range(20000))
+    r = spark.createDataFrame([(t,), ("",)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect()
+    assert "".join(r[0].c) == t and len(r[0].c) > 4 and list(r[1].c) == []
+
+
+# 5, 7
+def auc(y, s):
+    rank = np.argsort(np.argsort(s)) + 1
+    n = y.sum()
+    return (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+@pytest.mark.parametrize(("op", "label"), [(toxicity.op5, "toxic"), (quality.op7, "quality")])
+def test_held_out_accuracy(spark, op, label):
+    sf = "/root/testdata/sf0.1"  # enough labels to learn from
+    got = op(spark, sf).join(read(spark, sf, "labels"), "doc_id").where("held_out").select("score", "predicted", label).toPandas()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
+    assert auc(got[label].to_numpy(), got.score.to_numpy()) > 0.95
+
+
+def test_toxic_spans_point_at_tokens():
+    bad, good = ["you are a vile scumbag get lost"] * 60, ["the river runs past the old mill"] * 60
+    field = toxicity.fit(bad + good, np.array([1] * 60 + [0] * 60), 0.5)
+    words = "what a vile scumbag day".split()
+    a = field.active(words)
+    p = field.marginals(len(words), a)
+    assert {i for (i, _), q in zip(a, p) if q > 0.5} >= {2, 3}
+    assert field.score(5, p) > 0.5 > field.score(7, field.marginals(7, field.active("the river runs past the mill again".split())))
+
+
+def test_marginals_equal_enumeration():
+    field = toxicity.Field({"a": 1.0, "b": 0.5}, {}, np.array([1.2, 0.5, 0.5, -0.7]), np.array([[0.3, -0.2], [-0.4, 0.6]]), np.array([0.0, -0.3]), np.zeros(4))
+    words = "x a y b z a".split()
+    emit = [1.2 * field.word.get(w, 0.0) - 0.7 for w in words]
+    total, mass = 0.0, np.zeros(6)
+    for k in range(64):
+        s = [(k >> i) & 1 for i in range(6)]
+        e = np.exp(s[0] * -0.3 + sum(x * v for x, v in zip(s, emit)) + sum([[0.3, -0.2], [-0.4, 0.6]][a][b] for a, b in zip(s, s[1:])))
+        total += e
+        mass += e * np.array(s)
+    active = field.active(words)
+    assert np.allclose(field.marginals(6, active), (mass / total)[[i for i, _ in active]])
+
+
+def test_classifiers_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 1), (5, 0, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for m in (toxicity, quality):
+        for lab in (labels, labels.limit(0)):
+            model = m.trained(odd, lab)
+            assert m.scored(odd, model).where("score BETWEEN 0 AND 1").count() == len(ODD) and m.scored(none, model).count() == 0
+    assert toxicity.clean(odd, labels, 1.1).count() == len(ODD)
+
+
+# 6
+def brute_classes(texts, similar=0.8):
+    sets = {d: frozenset(zip(*[t.lower().split()[i:] for i in range(5)])) or frozenset([tuple(t.lower().split())] if t.split() else []) for d, t in texts.items()}
+    ids, of = sorted(sets), {}
+
+    def root(x):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) >= similar * len(x | y) and x:
+                lo, hi = sorted((root(a), root(b)))
+                of[hi] = lo
+    return {d: root(d) for d in ids}
+
+
+def test_near_classes_equal_brute_force(spark, sf, texts):
+    got = {r.doc_id: r.class_id for r in near_dedup.op6(spark, sf).collect()}
+    assert got == brute_classes({d: t or "" for d, t in texts.items()})
+
+
+def edited(n, seed=3):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = {}
+    for d in range(n):
+        t = list(base)
+        for i in rng.choice(120, rng.integers(0, 6), replace=False):
+            t[i] = f"e{d}x{i}"
+        out[d] = " ".join(t)
+    return out
+
+
+@pytest.mark.parametrize("few", [near_dedup.FEW, 0])
+def test_large_buckets_lose_no_link(spark, few, monkeypatch):
+    """Edited copies share buckets of more than SMALL nodes; both ways to find prefixes and texts give the same."""
+    real = near_dedup.prefixes
+    monkeypatch.setattr(near_dedup, "prefixes", lambda sets, similar: real(sets, similar, few))
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    t = edited(150)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(t.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(t)
+
+
+def test_prefixes_by_either_way_agree(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, np.sort(rng.choice(300, rng.integers(1, 60), replace=False)).astype(np.int64).tobytes()) for i in range(80)]
+    sets = written(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, set binary"), "test-sets")
+    a, b = ({tuple(r) for r in near_dedup.prefixes(sets, 0.8, few).select("nid", "n", "tok", "pos").collect()} for few in (10**6, 0))
+    assert a == b and a
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(2)
+    ids = near_dedup.mix(np.arange(400, dtype=np.uint64))
+    x, y = rng.integers(1, 5, 400).astype(float), rng.integers(1, 5, 400).astype(float)
+    same = np.mean(near_dedup.darts(ids, x, 1200) == near_dedup.darts(ids, y, 1200))
+    assert abs(same - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.06
+
+
+def test_near_dedup_on_odd_rows(odd, none):
+    rows = near_dedup.near_classes(odd).collect()
+    assert len(rows) == len(ODD) and {r.class_id for r in rows if r.doc_id == 1} == {1} and sorted(r.class_id for r in rows if r.doc_id == 4) == [1, 4] and {r.class_id for r in rows if r.doc_id in (2, 3)} == {2}
+    assert near_dedup.near_classes(none).count() == 0 and near_dedup.distinct_documents(odd).columns == odd.columns
+
+
+# 8
+def test_urls_on_odd_rows(spark):
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Example.COM/en/77?q"), (5, "http://notexample.net/de/8"), (6, "x://a.org/es/#f"), (6, "x://a.org/es/#f"), (7, "http://h\u00fc.net/de/" + "a" * 50000)], "page_id long, url string").withColumn("rule", F.lit(1))
+    rows = {r.page_id: r for r in url_filter.filtered(pages).collect()}
+    assert (rows[4].host, rows[4].path, rows[4].rule, rows[4].verdict) == ("www.example.com", "/en/77", "example.com/en/7", "allow")
+    assert rows[5].rule == "net/de/" and rows[6].verdict == "block" and rows[1].host == rows[3].path == "" and rows[2].verdict == "allow"
+    assert url_filter.filtered(pages.limit(0)).count() == 0
+
+
+# 9
+def test_token_files_equal_the_library(spark, sf, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    start, want = 0, {}
+    for d in sorted(texts):
+        ids = np.array([*t.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
+        want[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.op9(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 5000])
+def test_huffman_round_trip(n):
+    ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 49000).astype(np.uint32)
+    lengths = token_store.code_lengths(np.bincount(ids))
+    assert lengths.max() <= token_store.LIMIT and sum(2.0 ** -int(b) for b in lengths if b) <= 1
+    payload, checkpoints = token_store.pack(ids, lengths, token_store.canonical(lengths))
+    assert (token_store.unpack(payload, checkpoints, n, token_store.decoding_table(lengths)) == ids).all()
+
+
+# 10
+def test_top_k_equals_brute_force_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-64, 64, (300, 12))
+    x[::7] = x[0]
+    got = topk.top_k(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 20, 4, 32).collect()
+    want = {(q, rank + 1, c, int(x[q] @ x[c])) for q in range(0, 300, 20) for rank, c in enumerate(sorted((c for c in range(300) if c != q), key=lambda c: (-int(x[q] @ x[c]), c))[:20])}
+    assert {tuple(r) for r in got} == want
+
+
+def test_top_k_on_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (None, [1.0, 1.0]), (4, [0.5, 0.5]), (4, [0.5, 0.5]), (20, [float("inf"), 0.0]), (5, [])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert [(r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(4, 64 * 32 + 128 * 32)] * 2 + [(5, 0)]
+    assert topk.top_k(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# pipeline
+def test_pipeline(spark, sf, texts):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "pieces"]
+    docs = read(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = written(out, f"test-{name}")
+    got = sorted((r.doc_id, r.n_ids) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
+    assert got == sorted((r.doc_id, r.n_ids) for r in corpus_pipeline.run(spark, sf).collect())
