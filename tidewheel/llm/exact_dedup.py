@@ -41,8 +41,8 @@ def exact_groups(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
 
     Null counts as empty; empty texts are equal to each other. A null doc_id is smaller than any other: it stays only
     where all of its group are null. Of repeated rows with the doc_id that stays, all are marked kept; deduplicated()
-    keeps one. An empty table gives no rows. Equal lists of a hot group meet as partial aggregates only, and the join
-    that hands their result back is one whose large partitions Spark splits.
+    keeps one. An empty table gives no rows. Equal lists of a hot group meet as partial aggregates only; the join
+    that hands their result back still brings the recipes of one group to one task.
     """
     bad = [r.id for r in clashing(docs, normalise).take(1)]
     rows = recipes(docs, normalise)
