@@ -180,6 +180,14 @@ class Pieces:
             units.append([] if not t else _UNITS.findall(f" {t}") if "  " in t or t[0] == " " else t.split(" "))
         return self.table.ids(units)
 
+    def surfaces(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """The bytes that each text's ids stand for, without the space that the first mark is; ends: with a leading 0."""
+        size = self.size[ids]
+        data = gather(self.flat, self.start[ids], size).tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+        for a, b in zip(at, at[1:]):
+            yield data[a + (data[a : a + 1] == b" " and a < b) : b]
+
     def decode(self, ids: np.ndarray) -> str:
         text = gather(self.flat, self.start[ids], self.size[ids]).tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
@@ -206,7 +214,7 @@ def encoded(docs: DataFrame, path: str, kind: str | None = None) -> DataFrame:
             for part, texts in spans(batch, "text"):
                 ids, counts = m.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
-                same = [m.decode(ids[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, ends[:-1], ends[1:])]
+                same = [b == t.replace(MARK, " ").encode() for t, b in zip(texts, m.surfaces(ids, ends))]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column(0), lists, pa.array(counts, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
 
