@@ -69,6 +69,11 @@ def test_surrogates_do_not_collide(spark):
     assert len({k for k in new if k[0] == "email"}) == 182
 
 
+@pytest.mark.parametrize(("text", "name"), [('"Alice Miller" told us', "Alice"), ("(Anna Petersen)", "Petersen"), ("then—Иван Петров", "Петров"), ("Dr Jones called", "Jones"), ("Frau Weber", "Weber"), ("[Madame Curie]", "Curie"), ("a\tMonsieur. Blanc", "Blanc")])
+def test_surrogates_of_names_after_any_non_word_character(text, name):
+    assert name in [text[start:end] for start, end, _, _ in surrogates.entities(text)]
+
+
 def test_surrogates_on_odd_rows(odd, none):
     rows = surrogates.replaced(odd).collect()
     assert len(rows) == len(ODD) and sum(r.text is None for r in rows) == 1 and surrogates.replaced(none).count() == 0

@@ -51,9 +51,12 @@ _NUMBERS = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{4}([ -])\d{4}\8\d{4}\8\d{4}|\d{13,19})(?![\w-]))".replace(r"\8", r"(?P=sep)").replace(r"([ -])", r"(?P<sep>[ -])")
 )
 _PERSON = re.compile(rf"(?<!\w)(?P<given>{_NAMES})(?P<gap> (?:[A-Z]\. )?)(?P<surname>{_CAP}(?:-{_CAP})?)(?!\w)")
-_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? (?P<surname>{_CAP})(?!\w)")
+_TITLES = "Mr Mrs Ms Dr Herr Frau Señor Señora Madame Monsieur".split()
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(_TITLES)})\.? (?P<surname>{_CAP})(?!\w)")
 _HINT = re.compile(r"[@\d]")
-_FIRST = {n[:3] for n in _OF}
+_WORD = re.compile(r"\w+")
+#: Each match of _PERSON or _TITLED begins with one of these as a whole word.
+_BEGIN = {*_OF, *_TITLES}
 
 
 def luhn(digits: str) -> bool:
@@ -74,7 +77,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "phone":
                 digits = digits[-10:]
             out.append((m.start(), m.end(), kind, s.lower() if kind == "email" else s if kind == "ip" else re.sub(r"\s", "", s) if kind == "iban" else digits))
-    if any(w[:3] in _FIRST for w in set(text.split())) or "r. " in text or "s. " in text:
+    if not _BEGIN.isdisjoint(_WORD.findall(text)):
         surnames = set()
         for m in _PERSON.finditer(text):
             out.append((m.start("given"), m.end("given"), "given", m["given"]))
