@@ -74,6 +74,15 @@ def test_surrogates_of_names_after_any_non_word_character(text, name):
     assert name in [text[start:end] for start, end, _, _ in surrogates.entities(text)]
 
 
+def test_surrogates_of_given_names_alone(spark):
+    texts = ["Anna Petersen came. Anna said: (Anna), Petersen!", "Here Anna saw Dr Anna Petersen; Annabel did not", "Anna alone is no person", "Иван Петров. Иван-то"]
+    out = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    anna, ivan = surrogates.surrogate(surrogates.KEY, "given", "Anna"), surrogates.surrogate(surrogates.KEY, "given", "Иван")
+    assert out[0].split()[0] == anna and out[0].count(anna) == 3 and "Anna" not in out[0] and "Petersen" not in out[0]
+    assert out[1].count(anna) == 2 and out[1].endswith("; Annabel did not") and out[2] == texts[2]
+    assert out[3].count(ivan) == 2 and "Иван" not in out[3]
+
+
 def test_surrogates_on_odd_rows(odd, none):
     rows = surrogates.replaced(odd).collect()
     assert len(rows) == len(ODD) and sum(r.text is None for r in rows) == 1 and surrogates.replaced(none).count() == 0

@@ -78,13 +78,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 digits = digits[-10:]
             out.append((m.start(), m.end(), kind, s.lower() if kind == "email" else s if kind == "ip" else re.sub(r"\s", "", s) if kind == "iban" else digits))
     if not _BEGIN.isdisjoint(_WORD.findall(text)):
-        surnames = set()
+        surnames, givens = set(), set()
         for m in _PERSON.finditer(text):
             out.append((m.start("given"), m.end("given"), "given", m["given"]))
             out.append((m.start("surname"), m.end("surname"), "surname", m["surname"].lower()))
             surnames.add(m["surname"])
-        surnames |= {m["surname"] for m in _TITLED.finditer(text)}
-        if surnames:  # the name alone, later on, is the same person
+            givens.add(m["given"])
+        surnames |= {m["surname"] for m in _TITLED.finditer(text)} - givens  # "Dr Anna Petersen"
+        if givens := givens - surnames:  # either name alone, anywhere in the text, is the same person
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(givens, key=len, reverse=True))})(?!\w)", text):
+                out.append((m.start(), m.end(), "given", m[0]))
+        if surnames:
             for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})(?![\w-])", text):
                 out.append((m.start(), m.end(), "surname", m[0].lower()))
     out.sort(key=lambda e: (e[0], -e[1]))
