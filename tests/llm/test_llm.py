@@ -180,6 +180,48 @@ def test_toxic_spans_point_at_tokens():
     assert field.score(5, p) > 0.5 > field.score(7, field.marginals(7, field.active("the river runs past the mill again".split())))
 
 
+def test_toxic_words_after_a_quiet_start_are_learned_from():
+    """A chance word opens each text; the toxic words come 40 tokens later."""
+    quiet = "the river runs past the old mill " * 6
+    bad, good = [f"maybe {quiet} vile scumbag {quiet}"] * 60, [f"maybe {quiet}"] * 10 + [quiet] * 50
+    field = toxicity.fit(bad + good, np.array([1] * 60 + [0] * 60), 0.5)
+    assert 0 < field.word["maybe"] < toxicity.TOXIC < field.word["scumbag"]
+    words = "the old vile scumbag runs".split()
+    assert (field.marginals(5, field.active(words)) > 0.5).all()
+
+
+@pytest.mark.parametrize("tile", [2, 512])
+def test_gradient_of_whole_texts_equals_enumeration(tile, monkeypatch):
+    monkeypatch.setattr(toxicity, "TILE", tile)
+    rng = np.random.default_rng(0)
+    rows = [(n, [(i, tuple(rng.uniform(0, 1, 3))) for i in range(n) if rng.random() < 0.4], k % 2) for k, n in enumerate((0, 1, 2, 5, 7, 8, 8, 8))] + [(6, [], 0), (4, [(i, (0.9, 0.1, 0.0)) for i in range(4)], 1)]
+    theta = rng.normal(size=9) * 0.7
+
+    def likelihood(theta):
+        total = 0.0
+        for n, active, label in rows:
+            f, gold = np.zeros((n, 4)), [0] * n
+            f[:, 3] = 1
+            for i, x in active:
+                f[i, :3], gold[i] = x, int(label and max(x) >= toxicity.TOXIC)
+            nodes = [0, *(i for i, _ in active if i)]
+            cuts = [nodes[i] for i in range(0, len(nodes), tile)] if n else []
+            for k, begin in enumerate(cuts):  # the tokens after the last node of the tile before, given its label
+                begin = nodes[k * tile - 1] if k else 0
+                end = nodes[(k + 1) * tile - 1] + 1 if k + 1 < len(cuts) else n
+
+                def score(s):
+                    steps = sum(theta[4 + 2 * a + b] for a, b in zip(s, s[1:]))
+                    return steps + sum(f[begin + i] @ theta[:4] * x for i, x in enumerate(s) if i or not k) + (0 if k else theta[8] * s[0])
+
+                every = [[(m >> i) & 1 for i in range(end - begin)] for m in range(2 ** (end - begin))]
+                total += score(gold[begin:end]) - np.log(sum(np.exp(score(s)) for s in every if not k or s[0] == gold[begin]))
+        return total
+
+    numeric = [(likelihood(theta + 1e-5 * e) - likelihood(theta - 1e-5 * e)) / 2e-5 for e in np.eye(9)]
+    assert np.allclose(toxicity.Tiles([n for n, _, _ in rows], [a for _, a, _ in rows], np.array([y for _, _, y in rows])).gradient(theta), numeric, atol=1e-6)
+
+
 def test_marginals_equal_enumeration():
     field = toxicity.Field({"a": 1.0, "b": 0.5}, {}, np.array([1.2, 0.5, 0.5, -0.7]), np.array([[0.3, -0.2], [-0.4, 0.6]]), np.array([0.0, -0.3]), np.zeros(4))
     words = "x a y b z a".split()

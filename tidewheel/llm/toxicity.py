@@ -3,8 +3,9 @@
 Tokens are words; the tokens of the labelled sample are labelled by their document: a token of a toxic document is toxic
 if its word, or its beginning, is much commoner in toxic documents than in others. The field has two states. Emissions:
 log odds of the word and of its first four and five characters, where they speak for toxicity, and a bias; transitions
-and the start are free. It is fitted by the gradient of the conditional likelihood (forward-backward), and marginals of
-forward-backward give offending spans and, by a logistic calibration of their sum and maximum, the document's score.
+and the start are free. It is fitted on all tokens of the sampled texts by the gradient of the conditional likelihood
+(forward-backward); a text with more than TILE tokens of evidence is fitted in tiles, each given the label of the token
+before it, so that every token and transition still counts. Marginals of forward-backward give offending spans and, by a logistic calibration of their sum and maximum, the document's score.
 
 Tokens without evidence all have the same emission, so runs of them are one matrix power, and whole texts cost little
 more than looking their words up.
@@ -28,8 +29,8 @@ from .learning import held_out, logistic, sample
 WORDS = re.compile(r"\w+")
 #: At most so many rows of either label are learned from; log odds below EVIDENCE count as none.
 SAMPLE, EVIDENCE, THRESHOLD = 2500, 1.2, 0.3
-#: Tokens of a training window; log odds (scaled as in log_odds) from which a token of a toxic document is labelled toxic.
-WINDOW, TOXIC = 24, 0.6
+#: Evidence tokens of a training tile; log odds (scaled as in log_odds) from which a token of a toxic document is labelled toxic.
+TILE, TOXIC = 512, 0.6
 
 
 class Evidence(dict):
@@ -124,31 +125,99 @@ def log_odds(texts: Iterable[set[str]], y: np.ndarray) -> dict[str, float]:
     return out
 
 
-def gradient(f: np.ndarray, gold: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """Of the mean conditional log likelihood of windows f (rows, tokens, features), labels gold (rows, tokens);
-    theta: emission weights of the toxic state, transitions row by row, start of the toxic state."""
-    n, length, width = f.shape
-    emit = np.zeros((n, length, 2))
-    emit[:, :, 1] = np.clip(f @ theta[:width], -30, 30)
-    step = np.exp(theta[width : width + 4].reshape(2, 2))
-    e = np.exp(emit)
-    forward, backward = np.zeros((n, length, 2)), np.ones((n, length, 2))
-    forward[:, 0] = e[:, 0] * np.exp([0.0, theta[-1]])
-    forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
-    for i in range(1, length):
-        forward[:, i] = forward[:, i - 1] @ step * e[:, i]
-        forward[:, i] /= forward[:, i].sum(1, keepdims=True)
-    for i in range(length - 2, -1, -1):
-        backward[:, i] = (e[:, i + 1] * backward[:, i + 1]) @ step.T
-        backward[:, i] /= backward[:, i].max(1, keepdims=True)
-    p = forward * backward
-    p = (p / p.sum(2, keepdims=True))[:, :, 1]
-    pair = forward[:, :-1, :, None] * step * (e * backward)[:, 1:, None, :]
-    pair = (pair / pair.sum((2, 3), keepdims=True)).sum((0, 1))
-    state = np.stack([1 - gold, gold], 2)
-    seen = np.einsum("nti,ntj->ij", state[:, :-1], state[:, 1:])
-    rest = gold - p
-    return np.concatenate([np.einsum("nt,ntf->f", rest, f), (seen - pair).ravel(), [rest[:, 0].sum()]]) / n
+class Tiles:
+    """Training texts as nodes, their first tokens and those with evidence, with runs of quiet tokens after them.
+
+    Texts are cut after every TILE nodes; a further tile begins with the last node of the one before, whose label it is
+    given. Tiles are sorted by length, and nodes lie place by place: those at place k of all tiles that long.
+    """
+
+    def __init__(self, lengths: Sequence[int], active: Sequence[Sequence[tuple[int, tuple[float, float, float]]]], y: np.ndarray):
+        tiles = []  # nodes (features, label, run after it), and whether the first one's label is given
+        for n, a, label in zip(lengths, active, y):
+            if n:
+                nodes = [*([] if a and a[0][0] == 0 else [(0, (0.0, 0.0, 0.0))]), *a]
+                ends = [*(i for i, _ in nodes[1:]), n]
+                nodes = [((*x, 1.0), float(bool(label) and max(x) >= TOXIC), end - i - 1) for (i, x), end in zip(nodes, ends)]
+                tiles += [([*nodes[max(0, i - 1) : i], *nodes[i : i + TILE]], i > 0, i + TILE >= len(nodes)) for i in range(0, len(nodes), TILE)]
+        tiles.sort(key=lambda t: -len(t[0]))
+        size = np.array([len(t[0]) for t in tiles], np.int64)
+        self.at = np.concatenate([[0], np.cumsum([(size > k).sum() for k in range(size.max(initial=0))])]).astype(np.int64)
+        place = [[t[0][k] for t in tiles[: self.at[k + 1] - self.at[k]]] for k in range(len(self.at) - 1)]
+        flat = [x for p in place for x in p]
+        self.f, self.gold = np.array([x[0] for x in flat]).reshape(-1, 4), np.array([x[1] for x in flat])
+        self.runs, self.run = np.unique(np.array([x[2] for x in flat], np.int64), return_inverse=True)
+        self.given = np.array([t[1] for t in tiles], bool)
+        self.next = np.full(len(flat), -1, np.int64)
+        for k in range(len(place) - 1):
+            m = len(place[k + 1])
+            self.next[self.at[k] : self.at[k] + m] = np.arange(self.at[k + 1], self.at[k + 1] + m)
+        self.inner = np.flatnonzero(self.next >= 0)
+        # the run after a tile's last node counts where the text ends; elsewhere it is the next tile's
+        last = [self.at[n - 1] + r for r, n in enumerate(size)]
+        self.tail = np.array([at for at, t in zip(last, tiles) if t[2]], np.int64)
+        self.counts = np.ones(len(flat), bool)
+        self.counts[: len(tiles)] = ~self.given
+        self.seen = np.zeros((2, 2))
+        for at in (self.inner, self.tail):
+            n, g = self.runs[self.run[at]], self.gold[at].astype(int)
+            self.seen[:, 0] += np.bincount(g[n > 0], minlength=2)
+            self.seen[0, 0] += np.maximum(n - 1, 0).sum()
+            if at is self.inner:
+                to = self.gold[self.next[at]].astype(int)
+                np.add.at(self.seen, (np.where(n > 0, 0, g), to), 1)
+
+    def gradient(self, theta: np.ndarray) -> np.ndarray:
+        """Of the conditional log likelihood; theta: emission weights of the toxic state, transitions row by row, start of the toxic state."""
+        if not len(self.gold):
+            return np.zeros(9)
+        step, n = np.exp(theta[4:8].reshape(2, 2)), self.runs
+        quiet = step * np.exp([0.0, theta[3]])
+        values, v = np.linalg.eig(quiet)  # positive, so the values are real and differ
+        order = np.argsort(-np.abs(values))
+        v, low = v[:, order], values[order[1]] / values[order[0]]
+        back, quiet = np.linalg.inv(v), quiet / values[order[0]]
+        powers = np.einsum("ip,np,pj->nij", v, np.stack([np.ones(len(n)), low**n], 1), back)
+        across, emit = powers @ step, np.ones((len(self.gold), 2))
+        emit[:, 1] = np.exp(np.clip(self.f @ theta[:4], -30, 30))
+        first = slice(0, len(self.given))
+        forward, backward = np.zeros_like(emit), np.ones_like(emit)
+        forward[first] = np.where(self.given[:, None], np.stack([1 - self.gold[first], self.gold[first]], 1), emit[first] * np.exp([0.0, theta[8]]))
+        forward[first] /= forward[first].sum(1, keepdims=True)
+        over = across[self.run]
+        for k in range(1, len(self.at) - 1):
+            here, m = slice(self.at[k], self.at[k + 1]), self.at[k + 1] - self.at[k]
+            before = slice(self.at[k - 1], self.at[k - 1] + m)
+            a = (forward[before, :, None] * over[before]).sum(1) * emit[here]
+            forward[here] = a / a.sum(1, keepdims=True)
+        backward[self.tail] = powers[self.run[self.tail]].sum(2)
+        for k in range(len(self.at) - 2, 0, -1):
+            here, m = slice(self.at[k], self.at[k + 1]), self.at[k + 1] - self.at[k]
+            before = slice(self.at[k - 1], self.at[k - 1] + m)
+            b = (over[before] * (emit[here] * backward[here])[:, None, :]).sum(2)
+            backward[before] = b / b.max(1, keepdims=True)
+        p = forward * backward
+        rest = np.where(self.counts, self.gold - p[:, 1] / p.sum(1), 0.0)
+        # expected transitions: into nodes, and inside runs by the derivative of the powers
+        b = (emit * backward)[self.next[self.inner]]
+        pair = forward[self.inner, :, None] * b[:, None, :]
+        pair /= (pair * over[self.inner]).sum((1, 2))[:, None, None]
+        ends = forward[self.tail, :, None] * np.ones(2)
+        ends /= (ends * powers[self.run[self.tail]]).sum((1, 2))[:, None, None]
+        by, by_end = np.zeros((len(n), 2, 2)), np.zeros((len(n), 2, 2))
+        np.add.at(by, self.run[self.inner], pair)
+        np.add.at(by_end, self.run[self.tail], ends)
+        into = step * np.einsum("ncj,nci->ij", by, powers)
+        w = np.einsum("cp,ncd,qd->npq", v, by @ step.T + by_end, back)
+        mixed = (1 - low**n) / (1 - low)
+        w[:, 0, 0] *= n
+        w[:, 1, 1] *= n * low ** np.maximum(n - 1, 0)
+        w[:, 0, 1] *= mixed
+        w[:, 1, 0] *= mixed
+        inside = quiet * np.einsum("pi,jq,pq->ij", back, v, w.sum(0))
+        emission = rest @ self.f
+        emission[3] -= inside[:, 1].sum()  # quiet tokens are labelled clean
+        return np.concatenate([emission, (self.seen - into - inside).ravel(), [rest[first].sum()]])
 
 
 def fit(texts: Sequence[str], y: np.ndarray, share: float, steps: int = 200) -> Field:
@@ -160,22 +229,11 @@ def fit(texts: Sequence[str], y: np.ndarray, share: float, steps: int = 200) ->
     begin = log_odds(({w[:n] for w in t for n in (4, 5) if len(w) >= n} for t in tokens), y)
     field = Field(word, begin, np.array([1.0, 0.5, 0.5, -3.0]), np.zeros((2, 2)), np.zeros(2), np.zeros(4))
     active = [field.active(t) for t in tokens]
-    rows, gold = [], []  # a window from each text's first evidence on
-    for a, label in zip(active, y):
-        f, g = np.zeros((WINDOW, 4)), np.zeros(WINDOW)
-        f[:, 3] = 1
-        begins = max(0, a[0][0] - 3) if a else 0
-        for i, x in a:
-            if i - begins < WINDOW:
-                f[i - begins, :3] = x
-                g[i - begins] = label and max(x) >= TOXIC
-        rows.append(f)
-        gold.append(g)
-    f, gold = np.array(rows), np.array(gold)
+    tiles = Tiles([len(t) for t in tokens], active, y)
     theta = np.array([1.0, 0.5, 0.5, -3.0, 0, 0, 0, 0, 0])
     first, second = np.zeros(9), np.zeros(9)
     for i in range(1, steps + 1):  # Adam
-        g = gradient(f, gold, theta) - 2e-3 * theta
+        g = tiles.gradient(theta) / len(y) - 2e-3 * theta
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g**2
         theta = theta + 0.1 * first / (1 - 0.9**i) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
     field = Field(word, begin, theta[:4], theta[4:8].reshape(2, 2), np.array([0.0, theta[8]]), np.zeros(4))
