@@ -83,6 +83,27 @@ def test_surrogates_of_given_names_alone(spark):
     assert out[3].count(ivan) == 2 and "Иван" not in out[3]
 
 
+def test_surrogates_stay_in_small_formats_that_the_corpus_fills(spark):
+    full = [f"192.168.{a}.{b}" for a in range(10) for b in range(1, 10)] + [f"10.{a}.{b}.0" for a in range(10) for b in range(10)]
+    out = [(r.doc_id, r.text) for r in surrogates.replaced(spark.createDataFrame(list(enumerate(full)), "doc_id long, text string")).collect()]
+    assert sorted(t for _, t in out) == sorted(full) and all(t != full[i] for i, t in out)
+    assert all(t.split(".")[0] == full[i].split(".")[0] for i, t in out)
+
+
+@pytest.mark.parametrize("norms", [[f"{a}.7.7.{b}" for a in range(1, 10) for b in range(1, 10)], [f"192.{a}.3.{b}" for a in (167, 169, 100) for b in (0, 9, 255)], ["172.16.5.4", "172.15.5.4", "0.0.0.0", "255.255.255.255", "10.0.0.255", "11.10.10.10", "127.0.0.1", "224.0.0.1", "1٠.1.1.1"]])
+def test_surrogates_of_addresses_are_alike(norms):
+    new = [surrogates.surrogate(surrogates.KEY, "ip", n, 30) for n in norms]
+    assert all(surrogates.alike("ip", a, b) for a, b in zip(norms, new)) and len(set(new)) == len(new) and not any(a == b for a, b in zip(norms, new) if surrogates.size(surrogates.choices("ip", a)) > 1)
+
+
+def test_surrogates_after_many_attempts_keep_the_format():
+    for kind, norm in [("phone", "2125550147"), ("phone", "0125550147"), ("phone", "2123450147"), ("phone", "1234567"), ("ssn", "123456789"), ("ssn", "912345678"), ("ssn", "012345678"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000")]:
+        new = {surrogates.surrogate(surrogates.KEY, kind, norm, i) for i in range(20, 40)}
+        assert {len(x) for x in new} == {len(norm)} and norm not in new
+        assert kind not in ("phone", "ssn") or all(surrogates.alike(kind, norm, x) for x in new)
+    assert all("а" <= c <= "я" for c in surrogates.surrogate(surrogates.KEY, "surname", "петров", 30))
+
+
 def test_surrogates_on_odd_rows(odd, none):
     rows = surrogates.replaced(odd).collect()
     assert len(rows) == len(ODD) and sum(r.text is None for r in rows) == 1 and surrogates.replaced(none).count() == 0

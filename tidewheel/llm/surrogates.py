@@ -6,13 +6,17 @@ distinct entities are checked together: a candidate that another entity holds, o
 corpus, makes the later one try again. Only entities that needed more than one attempt have to be told to the scan that
 rewrites the texts, so texts are not shuffled.
 
-Given names are permuted inside their gender and script, so they can't collide; surnames keep script and length.
+Given names are permuted inside their gender and script, so they can't collide, and so are the numbers of a format with
+at most SMALL values (addresses of one private network and number of digits): a corpus may hold all of them, so their
+surrogates may be other entities of it. Numbers of larger formats never leave the format; after PATIENCE attempts they
+too may be entities of the corpus. Surnames keep their script and emails stay valid, but both grow after PATIENCE.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,8 +29,10 @@ from .common import read, spans, written
 KEY = b"replace this key"
 #: Entities of at most so many retries are broadcast; more reach their documents by a join.
 FEW = 200_000
-#: Attempts within the format; later ones are a character longer each, so that every entity gets a surrogate.
+#: Attempts that no entity of the corpus may hold; later surnames and emails are a letter longer each, so that every entity gets a surrogate.
 PATIENCE = 24
+#: Formats of at most so many values are permuted.
+SMALL = 1 << 24
 
 GIVEN = {
     ("f", "latin"): "Alice Amelia Anna Beatrice Carla Charlotte Claire Clara Diana Elena Emily Emma Eva Fiona Greta Hannah Helen Ingrid Isabel Jane Julia Karin Laura Lucia Maria Martha Mary Nadia Nina Olivia Paula Petra Rosa Sarah Sofia Susan Teresa Ursula Vera Victoria".split(),
@@ -116,8 +122,98 @@ class Stream:
         return "".join(c if (a := _CLASS.get(c)) is None else a[self.below(len(a))] for c in s)
 
 
+def network(parts: list[str]) -> int:
+    """How many leading parts of an address name its private network."""
+    return 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
+
+
+def choices(kind: str, norm: str) -> list[range]:
+    """Values of each part of an address, ssn or phone number in the format of this one; formats don't overlap."""
+    if kind == "ip":
+        parts = [str(int(p)) for p in norm.split(".")]
+        out = [range(0, 10), range(10, 100), range(100, 256)]
+        out = [range(int(p), int(p) + 1) if i < network(parts) else out[len(p) - 1] for i, p in enumerate(parts)]
+        first, last = int(parts[0]), int(parts[3])
+        if not network(parts):
+            out[0] = next(x for x in (range(0, 1), range(1, 10), range(11, 100), range(100, 224), range(224, 256)) if first in x)
+        out[3] = next(x for x in (range(0, 1), range(1, 10), range(10, 100), range(100, 255), range(255, 256)) if last in x)
+        return out
+    norm = "".join(str(int(c)) for c in norm)
+    out = [range(10)] * len(norm)
+    if kind == "ssn":
+        out[0] = range(1, 6) if norm[0] in "12345" else range(6, 11)  # 10 is 0
+    elif len(norm) == 10:
+        out[0] = range(2, 10) if norm[0] > "1" else range(2)
+        if norm[3:6] == "555":
+            out[3:6] = [range(5, 6)] * 3
+        else:
+            out[3] = range(2, 10) if norm[3] > "1" else range(2)
+    return out
+
+
+def size(space: list[range]) -> int:
+    return math.prod(map(len, space))
+
+
+def permuted(kind: str, norm: str) -> bool:
+    return kind == "given" or kind in ("ip", "ssn", "phone") and size(choices(kind, norm)) <= SMALL
+
+
+def alike(kind: str, norm: str, new: str) -> bool:
+    """Whether a number made of choices(kind, norm) has the format of norm."""
+    return choices(kind, new) == choices(kind, norm)
+
+
+def shifted(key: bytes, what: str, x: int, n: int) -> int:
+    """The next place after x of a keyed cycle through all of range(n)."""
+    side, seed = math.isqrt(n - 1) + 1, what.encode()
+
+    def f(i: int, half: int) -> int:
+        return int.from_bytes(hmac.digest(key, b"%s|%d|%d" % (seed, i, half), "sha256")[:8], "big") % side
+
+    def there(x: int) -> int:
+        while True:
+            a, b = divmod(x, side)
+            for i in range(6):
+                a, b = b, (a + f(i, b)) % side
+            if (x := a * side + b) < n:
+                return x
+
+    def back(x: int) -> int:
+        while True:
+            a, b = divmod(x, side)
+            for i in reversed(range(6)):
+                a, b = (b - f(i, a)) % side, a
+            if (x := a * side + b) < n:
+                return x
+
+    step = 1 + Stream(key, "step", what).below(n - 1)
+    while math.gcd(step, n) > 1:
+        step = step % (n - 1) + 1
+    return back((there(x) + step) % n)
+
+
+def next_alike(key: bytes, kind: str, norm: str) -> str:
+    """The surrogate of a number of a small format."""
+    space, ip = choices(kind, norm), kind == "ip"
+    n, x = size(space), 0
+    for c, v in zip(space, map(int, norm.split(".") if ip else norm)):
+        x = x * len(c) + c.index(v)
+    while True:
+        x = shifted(key, f"{kind}|{space}", x, n)
+        rest, out = x, []
+        for c in reversed(space):
+            rest, i = divmod(rest, len(c))
+            out.append(str(c[i]))
+        new = ("." if ip else "").join(reversed(out))
+        if alike(kind, norm, new):
+            return new
+
+
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The entity's surrogate, in normal form."""
+    if kind != "given" and permuted(kind, norm):
+        return next_alike(key, kind, norm)
     r = Stream(key, kind, norm, attempt)
     if kind == "given":
         names = GIVEN[_OF[norm]]
@@ -128,33 +224,23 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")
         out = f"{r.shaped(local)}@{'.'.join([*(Stream(key, 'domain', domain, i).shaped(x) for i, x in enumerate(labels[:-1])), labels[-1]])}"
-    elif kind == "ip":
-        parts = norm.split(".")
-        fixed = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
-        for i in range(fixed, 4):
-            low, high = {1: (1 if i in (0, 3) else 0, 9), 2: (11, 99), 3: (100, 223 if i == 0 else 255)}[len(parts[i])]
-            parts[i] = str(low + r.below(high - low + 1))
-        out = ".".join(parts)
     elif kind == "iban":
         out = norm[:2] + r.shaped(norm[2:].lower()).upper()
     elif kind == "surname":
         out = r.shaped(norm)
-    else:
-        d = [str(r.below(10)) for _ in norm]
-        if kind == "phone" and len(d) == 10:
-            d[0], d[3] = str(2 + r.below(8)), norm[3] if norm[3:6] == "555" else str(2 + r.below(8))
-            if norm[3:6] == "555":
-                d[4:6] = norm[4:6]
-        if kind == "card":
-            d[0] = norm[0]
-            if luhn(norm):
-                d[-1] = next(c for c in "0123456789" if luhn("".join(d[:-1]) + c))
-        if kind == "ssn":
-            d[0] = str(1 + r.below(5))
+    elif kind == "card":
+        d = [norm[0], *(str(r.below(10)) for _ in norm[1:])]
+        if luhn(norm):
+            d[-1] = next(c for c in "0123456789" if luhn("".join(d[:-1]) + c))
         out = "".join(d)
-    if attempt >= PATIENCE:
-        more = "".join(chr(ord("a") + r.below(26)) if kind in ("email", "surname") else str(r.below(10)) for _ in range(attempt - PATIENCE + 1))
-        out = more + out if kind == "email" else out + more
+    else:
+        out = ""
+        while not out or not alike(kind, norm, out):
+            d = [c[r.below(len(c))] for c in choices(kind, norm)]
+            out = ".".join(map(str, d)) if kind == "ip" else "".join(str(x % 10) for x in d)
+    if attempt >= PATIENCE and kind in ("email", "surname"):
+        more = attempt - PATIENCE + 1
+        out = "".join(chr(ord("a") + r.below(26)) for _ in range(more)) + out if kind == "email" else out + r.shaped(norm[-1] * more)
     return out
 
 
@@ -164,10 +250,10 @@ def rendered(mention: str, kind: str, norm: str, new: str) -> str:
         return new
     if kind in ("phone", "card", "ssn"):
         digits = [i for i, c in enumerate(mention) if c.isdigit()][-len(norm) :]
-        out, extra = list(mention), new[len(norm) :]
+        out = list(mention)
         for i, c in zip(digits, new):
             out[i] = c
-        return "".join(out) + extra
+        return "".join(out)
     if kind == "iban":
         it = iter(new)
         return "".join(c if c == " " else next(it, "") for c in mention) + "".join(it)
@@ -183,7 +269,7 @@ def retries(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in spans(batch, "text"):
-                own = sorted({(k, n) for t in texts for _, _, k, n in entities(t) if k != "given"})
+                own = sorted({(k, n) for t in texts for _, _, k, n in entities(t) if not permuted(k, n)})
                 yield pa.record_batch([pa.array([k for k, _ in own], pa.string()), pa.array([n for _, n in own], pa.string())], ["kind", "norm"])
 
     def tried(attempt: int):
@@ -198,7 +284,8 @@ def retries(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     pending, held, attempt = every, None, 0
     while True:
         tries = written(pending.mapInArrow(tried(attempt), "kind string, norm string, new string"), "surrogates")
-        best = tries.join(every.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_anti")
+        own = every if attempt < PATIENCE else every.where("kind IN ('email', 'surname')")
+        best = tries.where("new <> norm").join(own.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_anti")
         if held is not None:
             best = best.join(held, ["kind", "new"], "left_anti")
         best = written(best.groupBy("kind", "new").agg(F.min("norm").alias("norm")).withColumn("attempt", F.lit(attempt)), "held")
