@@ -147,6 +147,15 @@ def test_pieces_equal_the_library(spark, sf, texts):
             assert list(r.ids) == m.encode(t)
 
 
+def test_pieces_of_every_document_equal_the_library(spark, sf, texts):
+    import sentencepiece as sp
+
+    m = sp.SentencePieceProcessor(model_file=pieces.default_model())
+    rows = pieces.op3(spark, sf).collect()
+    assert len(rows) == len(texts) and sum("\n" in (t or "") or "  " in (t or "") for t in texts.values()) > 0
+    assert [r.doc_id for r in rows if list(r.ids) != m.encode(texts[r.doc_id] or "")] == []
+
+
 def test_pieces_prefix_states_equal_merging():
     m = pieces.model(pieces.default_model())
     rng = np.random.default_rng(1)
