@@ -56,19 +56,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def spans(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with about so many characters of text each (one text at least), with their texts; null is empty."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch with about so many bytes of text each (one text at least), with their texts; null is empty."""
     text = batch.column(batch.schema.get_field_index(column))
     sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
     start = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate([*sizes, chars]):
         if i > start and total + n > chars:
-            part = batch.slice(start, i - start)
-            yield part, [t or "" for t in text.slice(start, i - start).to_pylist()]
+            yield batch.slice(start, i - start), pa.compute.fill_null(text.slice(start, i - start), "")
             start, total = i, 0
         total += n
-    if start < len(sizes):
-        yield batch.slice(start), [t or "" for t in text.slice(start).to_pylist()]
+
+
+def spans(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """slices() with their texts as a list."""
+    for part, text in slices(batch, column, chars):
+        yield part, text.to_pylist()
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
