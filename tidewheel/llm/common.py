@@ -61,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator
     text = batch.column(batch.schema.get_field_index(column))
     sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
     start = total = 0
-    for i, n in enumerate([*sizes, chars]):
+    for i, n in enumerate([*sizes, chars + 1]):
         if i > start and total + n > chars:
             yield batch.slice(start, i - start), pa.compute.fill_null(text.slice(start, i - start), "")
             start, total = i, 0
