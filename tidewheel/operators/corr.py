@@ -1,7 +1,8 @@
-"""Auto- and cross-covariances and correlations of a gap-free series (missing values count as no pair).
+"""Auto- and cross-covariances and correlations of a series (missing values and gaps count as no pair).
 
-A lag is an equi-join of the series with itself on t + lag, for lags up to a bound, so no task needs a whole series.
-Divisors are the number of valid pairs, plus the lag for periodograms.
+Rows are dealt by blocks of periods, each with the rows up to the largest lag before it, and the pairs of a block are
+made from two arrays, so no task needs a whole series and no row is copied for every lag. Divisors are the number of
+valid pairs, plus the lag for periodograms.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import anom
+from .blocks import BLOCK
 
 
 def lags(n: int, m: int | None = None) -> list[int]:
@@ -22,21 +25,51 @@ def lags(n: int, m: int | None = None) -> list[int]:
     return [*range(k), *range(first, 0)]
 
 
+def _sums(both: DataFrame, maxlag: int, signed: bool) -> DataFrame:
+    """lag, s and n of x[t + lag] * y[t] for rows t, x, y; one row of a repeated date counts as a pair each."""
+    size = max(BLOCK // 4, maxlag, 1)
+    home = F.floor(F.col("t") / size).cast("long")
+    reach = F.floor((F.col("t") + maxlag) / size).cast("long")
+    # y goes to its own block and to those its lags reach; with negative lags x at t - lag lies before it
+    first = F.floor((F.col("t") - maxlag) / size).cast("long") if signed else home
+    xs = both.where("x IS NOT NULL").select(home.alias("__b"), F.struct(F.col("t"), F.col("x").alias("v")).alias("p"), F.lit(True).alias("own"))
+    ys = both.where("y IS NOT NULL").select(F.explode(F.sequence(first, reach)).alias("__b"), F.struct(F.col("t"), F.col("y").alias("v")).alias("p"), F.lit(False).alias("own"))
+    cells = xs.unionByName(ys).groupBy("__b").agg(*[F.collect_list(F.when(F.col("own") if own else ~F.col("own"), F.col("p"))).alias(n) for n, own in (("xs", True), ("ys", False))])
+
+    def run(batches):
+        for rows in batches:
+            lags_, s, n = [], [], []
+            for x, y in zip(rows["xs"], rows["ys"]):
+                if not len(x) or not len(y):
+                    continue
+                xt, xv = np.array([p["t"] for p in x]), np.array([p["v"] for p in x], float)
+                yt, yv = np.array([p["t"] for p in y]), np.array([p["v"] for p in y], float)
+                at = np.arange(min(xt.min(), yt.min()), max(xt.max(), yt.max()) + 1)  # a block and its halo
+                cell = lambda t, v: np.bincount(t - at[0], v, len(at))
+                sx, cx, sy, cy = cell(xt, xv), cell(xt, None), cell(yt, yv), cell(yt, None)
+                for k in range(-maxlag if signed else 0, maxlag + 1):
+                    a, b = (slice(k, None), slice(0, len(at) - k)) if k >= 0 else (slice(0, len(at) + k), slice(-k, None))
+                    if k < len(at) and -k < len(at) and (m := int((cx[a] * cy[b]).sum())):
+                        lags_.append(k)
+                        s.append(float((sx[a] * sy[b]).sum()))
+                        n.append(m)
+            yield pd.DataFrame({"lag": np.array(lags_, np.int64), "s": np.array(s, float), "n": np.array(n, np.int64)})
+
+    return cells.mapInPandas(run, "lag long, s double, n long").groupBy("lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def cvf(df: DataFrame, x: str, y: str, maxlag: int, periodogram: bool = True) -> DataFrame:
     """lag and cov: sums of x[t + lag] * y[t] of the deviations from the means, for lags -maxlag to maxlag."""
-    a = anom(df.select("t", F.col(x).cast("double").alias("x")), "x").where("x IS NOT NULL")
-    b = anom(df.select("t", F.col(y).cast("double").alias("y")), "y").where("y IS NOT NULL")
-    moved = b.withColumn("lag", F.explode(F.sequence(F.lit(-maxlag), F.lit(maxlag)))).withColumn("t", F.col("t") + F.col("lag"))
-    sums = a.join(moved, "t").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.select(F.col("lag").cast("long").alias("lag"), (F.col("s") / (F.col("n") + (F.abs("lag") if periodogram else F.lit(0)))).alias("cov"), "n")
+    both = anom(anom(df.select("t", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x"), "y")
+    sums = _sums(both, maxlag, True)
+    return sums.select("lag", (F.col("s") / (F.col("n") + (F.abs("lag") if periodogram else F.lit(0)))).alias("cov"), "n")
 
 
 def avf(df: DataFrame, x: str, maxlag: int, periodogram: bool = True) -> DataFrame:
     """lag 0 to maxlag, cov and the number of pairs; negative lags are their mirror."""
-    a = anom(df.select("t", F.col(x).cast("double").alias("x")), "x").where("x IS NOT NULL")
-    moved = a.select("t", F.col("x").alias("y")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(maxlag)))).withColumn("t", F.col("t") + F.col("lag"))
-    sums = a.join(moved, "t").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.select(F.col("lag").cast("long").alias("lag"), (F.col("s") / (F.col("n") + (F.col("lag") if periodogram else F.lit(0)))).alias("cov"), "n")
+    own = anom(df.select("t", F.col(x).cast("double").alias("x")), "x").withColumn("y", F.col("x"))
+    sums = _sums(own, maxlag, False)
+    return sums.select("lag", (F.col("s") / (F.col("n") + (F.col("lag") if periodogram else F.lit(0)))).alias("cov"), "n")
 
 
 def _by_lag_0(cov: DataFrame, out: str) -> DataFrame:
@@ -72,11 +105,14 @@ def acf_std(df, x, maxlag, periodogram=True, confidence=0.6826895, simplified=Tr
 
 
 def levinson(r: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations of autocorrelations r, 0 at lag 0 (Yule-Walker of each order)."""
+    """Partial autocorrelations of autocorrelations r, 0 at lag 0: the recursion of Levinson and Durbin, of which each
+    order takes the coefficients of the one before."""
     out = np.zeros(len(r))
+    phi, rest = np.zeros(0), float(r[0]) if len(r) else 1.0
     for k in range(1, len(r)):
-        m = r[np.abs(np.subtract.outer(np.arange(k), np.arange(k)))]
-        out[k] = np.linalg.solve(m, r[1 : k + 1])[-1]
+        out[k] = (r[k] - phi @ r[k - 1 : 0 : -1]) / rest if rest else np.nan
+        phi = np.append(phi - out[k] * phi[::-1], out[k])
+        rest *= 1 - out[k] ** 2
     return out
 
 

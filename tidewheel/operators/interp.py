@@ -7,43 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .core import by
 
 
-def _fill(df: DataFrame, x: str, maxgap: int | None, keys: Sequence[str], out: str | None, forward: bool) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("t" if forward else F.desc("t"))
-    last = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if maxgap is None:
-        return df.withColumn(out or x, last)
-    run = df.withColumn("__island", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__last", last)
-    long = F.count(F.when(F.col(x).isNull(), 1)).over(Window.partitionBy(*keys, "__island")) > maxgap
-    return run.withColumn(out or x, F.when(F.col(x).isNotNull() | ~long, F.col("__last"))).drop("__island", "__last")
+def _neighbours(df: DataFrame, x: str, keys: Sequence[str], block: int | None) -> DataFrame:
+    """df with __p (position from 1), and __a and __z: p and x of the last valid row up to this one and the first from it
+    on. A key in a task, or without keys and with block by blocks of periods."""
+    here = F.when(F.col(x).isNotNull(), F.struct(F.col("__p").alias("p"), F.col(x).alias("x")))
+    if keys and block is None:
+        w = by(keys)
+        pos = df.withColumn("__p", F.row_number().over(w).cast("long"))
+        return pos.withColumns({"__a": F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__z": F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    size = block or blocks.BLOCK
+    pos = blocks.scanned(df, keys, {"__p": blocks.total(F.lit(1).cast("long"))}, size)
+    return blocks.scanned(pos, keys, {"__a": blocks.latest(here), "__z": blocks.latest(here, back=True)}, size, ("t", "__p"))
+
 
+def _fill(df: DataFrame, x: str, maxgap: int | None, keys: Sequence[str], out: str | None, forward: bool, block: int | None) -> DataFrame:
+    near = _neighbours(df, x, keys, block)
+    side = F.col("__a" if forward else "__z")
+    filled = side["x"]
+    if maxgap is not None:
+        ends = blocks.same_keys(near, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys) if keys else near.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows"))))  # one row
+        gap = F.coalesce(F.col("__z.p"), F.col("__rows") + 1) - F.coalesce(F.col("__a.p"), F.lit(0)) - 1
+        near, filled = ends, F.when(F.col(x).isNotNull() | (gap <= maxgap), filled)
+    return near.withColumn(out or x, filled).drop("__p", "__a", "__z", "__rows")
 
-def forward_fill(df: DataFrame, x: str, maxgap: int | None = None, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
+
+def forward_fill(df: DataFrame, x: str, maxgap: int | None = None, keys: Sequence[str] = (), out: str | None = None, block: int | None = None) -> DataFrame:
     """The last value before; a run of more than maxgap missing rows stays missing, and so do leading ones."""
-    return _fill(df, x, maxgap, keys, out, True)
+    return _fill(df, x, maxgap, keys, out, True, block)
 
 
-def backward_fill(df: DataFrame, x: str, maxgap: int | None = None, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
-    return _fill(df, x, maxgap, keys, out, False)
+def backward_fill(df: DataFrame, x: str, maxgap: int | None = None, keys: Sequence[str] = (), out: str | None = None, block: int | None = None) -> DataFrame:
+    return _fill(df, x, maxgap, keys, out, False, block)
 
 
-def interpolate(df: DataFrame, x: str, kind: str = "linear", keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
+def interpolate(df: DataFrame, x: str, kind: str = "linear", keys: Sequence[str] = (), out: str | None = None, block: int | None = None) -> DataFrame:
     """constant, linear, cubic or quintic between the first and last valid rows, by position; fewer than two valid rows
     stay as they are. Splines are solved for each key in pandas, the others are windows."""
     out = out or x
     if kind == "constant":
-        return forward_fill(df, x, keys=keys, out=out)
+        return forward_fill(df, x, keys=keys, out=out, block=block)
     if kind == "linear":
-        w = by(keys)
-        pos = df.withColumn("__p", F.row_number().over(w))
-        here = F.when(F.col(x).isNotNull(), F.struct(F.col("__p").alias("p"), F.col(x).cast("double").alias("x")))
-        a = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        b = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        pos = pos.withColumn("__a", a).withColumn("__z", b)
-        line = F.col("__a.x") + (F.col("__z.x") - F.col("__a.x")) * (F.col("__p") - F.col("__a.p")) / F.nullif(F.col("__z.p") - F.col("__a.p"), F.lit(0))
-        return pos.withColumn(out, F.coalesce(F.col(x).cast("double"), line)).drop("__p", "__a", "__z")
+        near = _neighbours(df, x, keys, block)
+        a, z = F.col("__a.x").cast("double"), F.col("__z.x").cast("double")
+        line = a + (z - a) * (F.col("__p") - F.col("__a.p")) / F.nullif(F.col("__z.p") - F.col("__a.p"), F.lit(0))
+        return near.withColumn(out, F.coalesce(F.col(x).cast("double"), line)).drop("__p", "__a", "__z")
     order = {"cubic": 3, "quintic": 5}[kind]
     one = df if keys else df.withColumn("__key", F.lit(0))
     group = list(keys) or ["__key"]

@@ -1,7 +1,7 @@
 """Moving windows: null for the first span - 1 rows and wherever one of the span rows is missing.
 
-A long series of one key would run in one task; with block, rows are dealt by blocks of periods, each with the span - 1
-rows before it as a halo, so a gap-free series of any length runs in as many tasks as it has blocks.
+A key is a window's whole partition; without keys, or with block, rows are dealt by blocks of positions, each with the
+rows before and after it that its windows reach, so a series of any length, with or without gaps, runs in many tasks.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from .core import by, finite
+from .blocks import same_keys
+from .core import finite, windowed
 
 
 def _moved(df: DataFrame, span: int, make: Callable[[WindowSpec], Column], gates: Sequence[str], out: str, keys: Sequence[str], block: int | None, before: int | None = None) -> DataFrame:
@@ -20,20 +21,15 @@ def _moved(df: DataFrame, span: int, make: Callable[[WindowSpec], Column], gates
         raise ValueError("span must be positive")
     before = span - 1 if before is None else before
     after = span - 1 - before
-    if block is None:
-        w = by(keys)
-        src = df
-    else:
-        b = F.floor(F.col("t") / block).cast("long")
-        halo = F.array_distinct(F.flatten(F.array(F.array(b), F.sequence(F.floor((F.col("t") - after) / block).cast("long"), F.floor((F.col("t") + before) / block).cast("long")))))
-        src = df.withColumn("__home", b).withColumn("__block", F.explode(halo))
-        w = Window.partitionBy(*keys, "__block").orderBy("t")
-    frame = w.rowsBetween(-before, after)
-    whole = F.count(F.lit(1)).over(frame) == span
-    for g in gates:
-        whole = whole & (F.count(finite(g)).over(frame) == span)
-    res = src.withColumn(out, F.when(whole, make(frame)))
-    return res if block is None else res.where("__home = __block").drop("__home", "__block")
+
+    def whole(w: WindowSpec) -> Column:
+        frame = w.rowsBetween(-before, after)
+        ok = F.count(F.lit(1)).over(frame) == span
+        for g in gates:
+            ok = ok & (F.count(finite(g)).over(frame) == span)
+        return F.when(ok, make(frame))
+
+    return windowed(df, keys, before, after, {out: whole}, block)
 
 
 def _one(name: str, f: Callable[[Column], Column]):
@@ -117,65 +113,63 @@ def cmov_window(df, x, span, kind="boxcar", normalize=False, keys=(), out=None,
     before = span // 2
     total = float(weights.sum()) if normalize else float(span)
 
-    def make(w):
-        order = w  # lag and lead need the ordering alone
-        parts = [F.lag(finite(x), before - j).over(order) if j <= before else F.lead(finite(x), j - before).over(order) for j in range(span)]
+    def make(w):  # lag and lead need the ordering alone
+        parts = [F.lag(finite(x), before - j).over(w) if j <= before else F.lead(finite(x), j - before).over(w) for j in range(span)]
         acc = F.lit(0.0)
         for p, k in zip(parts, weights):
             if abs(k) > 1e-15:
                 acc = acc + p * F.lit(float(k))
-        return acc / F.lit(total)
+        return F.when(F.count(F.lit(1)).over(w.rowsBetween(-before, span - 1 - before)) == span, acc / F.lit(total))
 
-    w = by(keys)
-    edge = F.count(F.lit(1)).over(w.rowsBetween(-before, span - 1 - before)) == span
-    return df.withColumn(out or x, F.when(edge, make(w)))
+    return windowed(df, keys, before, span - 1 - before, {out or x: make}, block)
 
 
 def mov_average_expw(df, x, span, tol=1e-6, keys=(), out=None, block=256):
     """Exponential average: y starts at the first value and moves by k (x - y), k = 2 / (span + 1); a missing x carries y.
-    Null where the same average of the missing flags leaves more than tol.
+    Null where the same average of the missing flags leaves more than tol. Rows of one date follow by value.
 
-    Both are affine maps of the state, so blocks of periods are reduced to one map each, the few maps of a key are
-    composed in order, and blocks are then run from their own start: no stage has a key's whole series in one row.
+    Both are affine maps of the state, so a block of periods is one map, `block` blocks are one map again, and so on
+    until the maps of a key are few; then each block starts from its own state. No row holds more than `block` of them.
     """
     out, k = out or x, 2.0 / (span + 1)
-    d = "double"
+    d, names = "double", list(df.columns)
     v = finite(x).cast(d)
-    cells = df.select(*keys, "t", v.alias("__v"), F.col(x).isNull().alias("__gone")).withColumn("__b", F.floor(F.col("t") / block).cast("long"))
-    rows = cells.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(F.struct("t", "__v", "__gone"))).alias("rows"))
-    # state: y (null before the first value) and e, the share of values among the rows so far
-    start = lambda y, e: F.struct(y.cast(d).alias("y"), e.cast(d).alias("e"))
+    state = lambda y, e: F.struct(y.cast(d).alias("y"), e.cast(d).alias("e"))  # noqa: E731  y: null before the first value; e: share of values so far
 
     def step(s, r):
-        y = F.when(r["__v"].isNull(), s["y"]).otherwise(F.coalesce(s["y"] + F.lit(k) * (r["__v"] - s["y"]), r["__v"]))
-        hit = F.when(r["__gone"], F.lit(0.0)).otherwise(F.lit(1.0))
-        return start(y, F.coalesce(s["e"] + F.lit(k) * (hit - s["e"]), hit))
-
-    # a block as maps: y -> own + keep * y for a started state, e -> likewise
-    n = F.size("rows")
-    values = F.size(F.filter("rows", lambda r: r["__v"].isNotNull()))
-    zero = F.aggregate("rows", start(F.lit(0.0), F.lit(0.0)), step)
-    fresh = F.aggregate("rows", start(F.lit(None), F.lit(None)), step)
-    maps = rows.select(*keys, "__b", F.struct("__b", zero["y"].alias("y0"), F.pow(F.lit(1 - k), values).alias("ky"), fresh["y"].alias("fy"), zero["e"].alias("e0"), F.pow(F.lit(1 - k), n).alias("ke"), fresh["e"].alias("fe")).alias("m"))
-    chain = maps.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-
-    def carried(ms):
-        empty = F.struct(F.lit(None).cast(d).alias("y"), F.lit(None).cast(d).alias("e"), F.array().cast("array<struct<b:bigint,y:double,e:double>>").alias("all"))
-        return F.aggregate(ms, empty, lambda s, m: F.struct(F.coalesce(m["y0"] + m["ky"] * s["y"], m["fy"]).cast(d).alias("y"), F.coalesce(m["e0"] + m["ke"] * s["e"], m["fe"]).cast(d).alias("e"), F.concat(s["all"], F.array(F.struct(m["__b"].alias("b"), s["y"].alias("y"), s["e"].alias("e")))).alias("all")))["all"]
-
-    begins = chain.select(*keys, F.explode(carried(F.col("ms"))).alias("c")).select(*keys, F.col("c.b").alias("__b"), F.col("c.y").alias("__y"), F.col("c.e").alias("__e"))
-    listed = "array<struct<t:bigint,y:double,e:double,gone:boolean>>"
-
-    def scan(rows_, y, e):
-        init = F.struct(y.alias("y"), e.alias("e"), F.array().cast(listed).alias("all"))
-
-        def go(s, r):
-            nxt = step(F.struct(s["y"].alias("y"), s["e"].alias("e")), r)
-            return F.struct(nxt["y"].alias("y"), nxt["e"].alias("e"), F.concat(s["all"], F.array(F.struct(r["t"].alias("t"), nxt["y"].alias("y"), nxt["e"].alias("e"), r["__gone"].alias("gone")))).alias("all"))
-
-        return F.aggregate(rows_, init, go)["all"]
-
-    run = rows.join(begins, [*keys, "__b"]).select(*keys, F.explode(scan(F.col("rows"), F.col("__y"), F.col("__e"))).alias("r"))
-    ok = 1 - F.col("r.e") <= tol
-    res = run.select(*keys, F.col("r.t").alias("t"), F.when(ok, F.col("r.y")).alias("__out"))
-    return df.join(res, [*keys, "t"], "left").withColumn(out, F.col("__out")).drop("__out")
+        y = F.when(r["v"].isNull(), s["y"]).otherwise(F.coalesce(s["y"] + F.lit(k) * (r["v"] - s["y"]), r["v"]))
+        hit = F.when(r["gone"], F.lit(0.0)).otherwise(F.lit(1.0))
+        return state(y, F.coalesce(s["e"] + F.lit(k) * (hit - s["e"]), hit))
+
+    def apply(m, s):
+        """The state after map m: own + keep * state, or what m makes of nothing."""
+        return state(F.coalesce(m["y0"] + m["ky"] * s["y"], m["fy"], s["y"]), F.coalesce(m["e0"] + m["ke"] * s["e"], m["fe"], s["e"]))
+
+    cells = df.withColumn("__b", F.floor(F.col("t") / block).cast("long")).select(*keys, "__b", F.struct("t", v.alias("v"), F.col(x).isNull().alias("gone"), F.struct(*[F.col(c) for c in names]).alias("row")).alias("r"))
+    rows = cells.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).when(a["v"] < b["v"], -1).when(a["v"] > b["v"], 1).otherwise(0)).alias("rows"))
+    n, values = F.size("rows"), F.size(F.filter("rows", lambda r: r["v"].isNotNull()))
+    zero = F.aggregate("rows", state(F.lit(0.0), F.lit(0.0)), step)
+    fresh = F.aggregate("rows", state(F.lit(None), F.lit(None)), step)
+    maps = rows.select(*keys, "__b", F.struct(zero["y"].alias("y0"), F.pow(F.lit(1 - k), values).alias("ky"), fresh["y"].alias("fy"), zero["e"].alias("e0"), F.pow(F.lit(1 - k), n).alias("ke"), fresh["e"].alias("fe")).alias("m"))
+
+    def begins(maps: DataFrame, level: int) -> DataFrame:
+        """keys, __b and the state s before each block."""
+        up = maps.withColumn("__s", F.floor(F.col("__b") / block).cast("long") if level else F.lit(0).cast("long"))
+        groups = up.groupBy(*keys, "__s").agg(F.array_sort(F.collect_list(F.struct("__b", "m"))).alias("ms"))
+        if level:
+            both = lambda a, m: F.struct((m["y0"] + m["ky"] * a["y0"]).alias("y0"), (a["ky"] * m["ky"]).alias("ky"), F.coalesce(m["y0"] + m["ky"] * a["fy"], m["fy"]).alias("fy"), (m["e0"] + m["ke"] * a["e0"]).alias("e0"), (a["ke"] * m["ke"]).alias("ke"), F.coalesce(m["e0"] + m["ke"] * a["fe"], m["fe"]).alias("fe"))
+            same = F.struct(F.lit(0.0).alias("y0"), F.lit(1.0).alias("ky"), F.lit(None).cast(d).alias("fy"), F.lit(0.0).alias("e0"), F.lit(1.0).alias("ke"), F.lit(None).cast(d).alias("fe"))
+            tops = groups.select(*keys, F.col("__s").alias("__b"), F.aggregate("ms", same, lambda a, m: both(a, m["m"])).alias("m"))
+            groups = same_keys(groups, begins(tops, level - 1).select(*keys, F.col("__b").alias("__s"), "s"), [*keys, "__s"])
+        else:
+            groups = groups.withColumn("s", state(F.lit(None), F.lit(None)))
+        empty = F.struct(F.col("s").alias("s"), F.array().cast("array<struct<b:bigint,s:struct<y:double,e:double>>>").alias("all"))
+        listed = F.aggregate("ms", empty, lambda a, m: F.struct(apply(m["m"], a["s"]).alias("s"), F.concat(a["all"], F.array(F.struct(m["__b"].alias("b"), a["s"].alias("s")))).alias("all")))["all"]
+        return groups.select(*keys, F.explode(listed).alias("c")).select(*keys, F.col("c.b").alias("__b"), F.col("c.s").alias("s"))
+
+    run = same_keys(rows, begins(maps, 2), [*keys, "__b"])
+    init = F.struct(F.col("s").alias("s"), F.array().cast("array<struct<y:double,e:double>>").alias("all"))
+    states = F.aggregate("rows", init, lambda a, r: (lambda s: F.struct(s.alias("s"), F.concat(a["all"], F.array(s)).alias("all")))(step(a["s"], r)))["all"]
+    each = run.select(F.explode(F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), states.alias("s"))).alias("z"))
+    res = each.select(*[F.col(f"z.row.{c}").alias(c) for c in names if c != out], F.when(1 - F.col("z.s.e") <= tol, F.col("z.s.y")).alias(out))
+    return res.select(*names, *[out] * (out not in names))

@@ -172,7 +172,7 @@ QUERIES["convert_d2q"] = lambda s, d: rounded(S.convert(users_full(s, d), "Q", "
 ORACLE_SQL["convert_d2q"] = f"WITH {WITH['uf']}" + _spine(_Q, "sum(x)")
 QUERIES["convert_d2w"] = lambda s, d: rounded(S.convert(users_full(s, d), "W-SUN", "max", keys=U), 7)
 ORACLE_SQL["convert_d2w"] = f"WITH {WITH['uf']}" + _spine("((t + 6) // 7)::BIGINT", "max(x)")
-query("convert_h2d", lambda s, d: S.convert(C.with_freq(_read(s, d, "events", P.to_period("ts", "H").alias("t"), "value"), "H"), "D", "mean"), f"SELECT {day('ts')} AS t, round(avg(value), 4) AS value FROM events GROUP BY 1")
+query("convert_h2d", lambda s, d: S.convert(C.with_freq(_read(s, d, "events", P.to_period("ts", "H").alias("t"), "value"), "H"), "D", "mean", duplicates="fold"), f"SELECT {day('ts')} AS t, round(avg(value), 4) AS value FROM events GROUP BY 1")
 for _pos, _rule in (("START", "date_trunc('month', o)"), ("END", "last_day(o)")):
     query(f"convert_m2d_{_pos.lower()}", lambda s, d, p=_pos: S.convert(orders_monthly(s, d), "D", position=p), f", m AS (SELECT make_date(((t - 1) // 12 + 1)::INTEGER, ((t - 1) % 12 + 1)::INTEGER, 1) AS o, x FROM om) SELECT s.t, round(m.x, 4) AS x FROM (SELECT unnest(range(min({day('o')}), max({day('last_day(o)')}) + 1)) AS t FROM m) s LEFT JOIN m ON {day(_rule)} = s.t", "om")
 _CELL = f"t - {day(f'date_trunc({chr(39)}month{chr(39)}, {of_day(chr(116))})')}"
