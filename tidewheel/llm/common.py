@@ -22,9 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, which only a
+    local session may do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -46,6 +49,35 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Keys of at most so many rows are broadcast (some 16 bytes each); more are joined by shuffle.
+FEW = 500_000
+
+
+def few(keys: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= (FEW if most is None else most) else keys
+
+
+def text_hash() -> Column:
+    """With the doc_id it tells a row from others, but for repeated ones."""
+    return F.xxhash64("text")
+
+
+def without(docs: DataFrame, marks: DataFrame, most: int | None = None) -> DataFrame:
+    """docs less the rows of marks(doc_id, th, stays, n) that don't stay. Of rows alike in doc_id and text_hash that stay,
+    n of them, one stays: the first of their JSON. Only where marks are many are texts moved for it."""
+    keyed = docs.withColumn("__th", text_hash())
+    keys = marks.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "stays", "n")
+    ok = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
+    out = keyed.join(few(keys.where("NOT stays").select("__id", "__h"), most), ok, "left_anti")
+    again = keys.where("stays AND n > 1").select("__id", "__h")
+    if again.limit(1).count():
+        again = few(again, most)
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = out.join(again, ok, "left_semi").groupBy("doc_id", "__th").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+        out = out.join(again, ok, "left_anti").select(*docs.columns).unionByName(one.select("__row.*"))
+    return out.select(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null is empty. Pure ASCII takes the fast path of lower()."""
     text = F.coalesce(text, F.lit(""))

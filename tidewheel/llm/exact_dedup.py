@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, written
+from .common import FEW, ascii_lower, read, text_hash, without, written
 
 #: Least and most characters of a chunk; between them the content decides.
 LEAST, MOST = 256, 4096
@@ -24,10 +24,10 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
 
 
 def recipes(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
-    """doc_id, text_sha256, recipe (array of chunk identifiers). Identifiers are 128 bits of each chunk, or more where
+    """doc_id, th (text_hash), text_sha256, recipe (array of chunk identifiers). Identifiers are 128 bits of each chunk, or more where
     two chunks turn out to share them: see verified()."""
-    text = docs.select("doc_id", normalise(F.col("text")).alias("__t"))
-    return text.select("doc_id", F.sha2(F.col("__t").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("__t")), lambda c: F.unhex(F.md5(c.cast("binary")))).alias("recipe"))
+    text = docs.select("doc_id", text_hash().alias("th"), normalise(F.col("text")).alias("__t"))
+    return text.select("doc_id", "th", F.sha2(F.col("__t").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("__t")), lambda c: F.unhex(F.md5(c.cast("binary")))).alias("recipe"))
 
 
 def clashing(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
@@ -36,29 +36,47 @@ def clashing(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
     return distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
 
 
-def exact_groups(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
-    """A row for every row of docs: doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256.
+#: Recipes of groups of at most so many bytes together are broadcast.
+FEW_BYTES = 16 << 20
 
-    Null counts as empty; empty texts are equal to each other. A null doc_id is smaller than any other: it stays only
-    where all of its group are null. Of repeated rows with the doc_id that stays, all are marked kept; deduplicated()
-    keeps one. An empty table gives no rows. Equal lists of a hot group meet as partial aggregates only; the join
-    that hands their result back still brings the recipes of one group to one task.
+
+def _grouped(docs: DataFrame, normalise, few_bytes: int | None = None) -> DataFrame:
+    """recipes() with keep (doc_id and th of the row that stays) and group_size.
+
+    Recipes of single texts go no further than the aggregate. The groups of several are few or small enough to be
+    broadcast, so that no row moves, or meet their rows by a join of two written tables, of which Spark splits hot keys.
     """
     bad = [r.id for r in clashing(docs, normalise).take(1)]
     rows = recipes(docs, normalise)
     if bad:  # never seen with 128 bits: the ordered list then carries the whole text's own digest too
         rows = rows.withColumn("recipe", F.concat("recipe", F.array(F.unhex("text_sha256"))))
     rows = written(rows, "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "th")).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = written(groups, "groups")
+    n, size = groups.agg(F.count(F.lit(1)), F.sum(F.size("recipe") * 16)).first()
+    fits = n <= FEW and (size or 0) <= (FEW_BYTES if few_bytes is None else few_bytes)
+    both = rows.join(F.broadcast(groups) if fits else groups, "recipe", "left").drop("recipe")
+    return both.withColumns({"keep": F.coalesce("keep", F.struct("doc_id", "th")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+
+
+def exact_groups(docs: DataFrame, normalise=ascii_lower, few_bytes: int | None = None) -> DataFrame:
+    """A row for every row of docs: doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256.
+
+    Null counts as empty; empty texts are equal to each other. A null doc_id is smaller than any other: it stays only
+    where all of its group are null. Of repeated rows with the doc_id that stays, all are marked kept; deduplicated()
+    keeps one. An empty table gives no rows.
+    """
+    rows = _grouped(docs, normalise, few_bytes)
+    return rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the largest doc_id; other columns untouched."""
-    keep = exact_groups(docs, normalise).where("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__sha", F.sha2(normalise(F.col("text")).cast("binary"), 256))
-    out = rows.join(keep, rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["__sha"] == keep["__sha"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    """docs with one row of each group of equal texts, the one with the largest doc_id; other columns untouched. Of
+    several rows with that doc_id the one with the largest text_hash stays, of repeated ones the first of their JSON."""
+    rows = _grouped(docs, normalise).where("group_size > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
+    marks = rows.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    return without(docs, written(marks, "marks"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

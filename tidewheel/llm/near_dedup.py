@@ -10,6 +10,9 @@ ROWS coordinates make a band; texts that agree in a band are candidates. Equal s
 of at most SMALL nodes give all their pairs. The nodes of larger ones are compared with LEADERS of them; where that
 leaves several classes, the rest is found exactly by prefix shingles, so no link is lost and no bucket's pairs are all
 made. Every candidate pair is verified on the whole shingle sets; classes are the connected components.
+
+With weighting "count" an element's weight is how often the text has the shingle. Sets are then of shingles with the
+number of their occurrence, whose Jaccard similarity is the weighted one of the counts, so the same checks hold.
 """
 
 from __future__ import annotations
@@ -23,14 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, in_arrow, read, spans, written
+from .common import FEW, drop_written, few, in_arrow, read, spans, text_hash, without, written
 
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 4, 20
 SLOTS = ROWS * BANDS
 SMALL, LEADERS = 24, 4
-#: Ids of at most so many rows are broadcast to find their texts; more are joined by shuffle.
-FEW = 500_000
 _FIRST = 0  # the first rank region ends at 2 ** -_FIRST; texts of a few hundred shingles mostly need no other
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,8 +144,23 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def occurrences(every: np.ndarray) -> np.ndarray:
+    """Distinct elements for shingles with repeats: the first occurrence is the shingle's own hash."""
+    own, first, count = np.unique(every, return_index=True, return_counts=True)
+    if len(own) == len(every):
+        return own
+    nth = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        again = np.repeat(own, count)
+        return np.unique(np.where(nth == 0, again, mix(again ^ (nth.astype(np.uint64) * _M2))))
+
+
+def elements(every: np.ndarray, weighting: str) -> np.ndarray:
+    return occurrences(every) if weighting == "count" else np.unique(every)
+
+
 def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """doc_id, k1 and k2 (of the shingle set), n (its size), bands. weighting: "set", or "count" for weighted signatures."""
+    """doc_id, th (text_hash), k1 and k2 (of the elements), n (how many), bands. weighting: "set", or "count"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -152,30 +168,45 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
             for part, texts in spans(batch, "text"):
                 k1, k2, sizes, keys = [], [], [], []
                 for all_ in shingles(texts, words):
-                    own, count = np.unique(all_, return_counts=True)
+                    own = elements(all_, weighting)
                     with np.errstate(over="ignore"):
                         a, b = mix(own).sum(dtype=np.uint64), mix(own ^ _M1).sum(dtype=np.uint64)
                     k1.append(int(a.view(np.int64)))
                     k2.append(int(b.view(np.int64)))
                     sizes.append(len(own))
-                    keys.append(bands(darts(own, count.astype(float) if weighting == "count" else None)) if len(own) else np.zeros(0, np.int64))
-                yield pa.record_batch([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "bands"])
+                    if weighting == "count":
+                        thrown = darts(*(lambda u, c: (u, c.astype(float)))(*np.unique(all_, return_counts=True)))
+                    else:
+                        thrown = darts(own)
+                    keys.append(bands(thrown) if len(own) else np.zeros(0, np.int64))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "k1", "k2", "n", "bands"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return in_arrow(docs.select("doc_id", text_hash().alias("th"), "text"), run, "doc_id long, th long, k1 long, k2 long, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and sorted shingle hashes of the rows of docs with these ids; written."""
-    few = ids.count() <= FEW
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+class Texts:
+    """Where the text of a node is found: docs, nodes(nid, rep: doc_id and th of one of its rows), and whether rows of
+    docs are repeated."""
 
-    def run(batches):
-        words = Words()
-        for batch in batches:
-            for part, texts in spans(batch, "text"):
-                yield pa.record_batch([part.column(0), pa.array([np.unique(s).tobytes() for s in shingles(texts, words)], pa.binary())], ["id", "set"])
+    def __init__(self, docs: DataFrame, nodes: DataFrame, repeated: bool, weighting: str):
+        self.docs, self.nodes, self.repeated, self.weighting = docs, nodes, repeated, weighting
 
-    return written(in_arrow(rows, run, "id long, set binary"), "sets")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id and sorted element hashes of these nodes; written."""
+        held = written(self.nodes.select("nid", F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__h")).join(ids.select(F.col("id").alias("nid")), "nid", "left_semi"), "wanted")
+        rows = self.docs.select("doc_id", text_hash().alias("th"), "text").join(few(held, FEW), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__h"))).select("nid", "text")
+        weighting = self.weighting
+
+        def run(batches):
+            words = Words()
+            for batch in batches:
+                for part, texts in spans(batch, "text"):
+                    yield pa.record_batch([part.column(0), pa.array([elements(s, weighting).tobytes() for s in shingles(texts, words)], pa.binary())], ["id", "set"])
+
+        out = in_arrow(rows, run, "id long, set binary")
+        out = written(out.groupBy("id").agg(F.first("set").alias("set")) if self.repeated else out, "sets")
+        drop_written(held)
+        return out
 
 
 def verified(sets: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -265,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _joined_within(docs: DataFrame, big: DataFrame, label: DataFrame, similar: float) -> DataFrame:
+def _joined_within(texts: Texts, big: DataFrame, label: DataFrame, similar: float) -> DataFrame:
     """label(nid, comp) after all links inside the buckets of big(h, nid, n).
 
     Only buckets that still hold several classes matter. Similar sets among their nodes share a prefix shingle, so nodes
@@ -274,7 +305,7 @@ def _joined_within(docs: DataFrame, big: DataFrame, label: DataFrame, similar: f
     """
     at = big.join(label, "nid")
     live = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    sets = shingle_sets(docs, at.join(written(live, "live"), "h", "left_semi").select(F.col("nid").alias("id")).distinct())
+    sets = texts.sets(at.join(written(live, "live"), "h", "left_semi").select(F.col("nid").alias("id")).distinct())
     rest, leaders = prefixes(sets, similar), SMALL
     while True:
         held = rest.join(label, "nid")
@@ -296,16 +327,14 @@ def _joined_within(docs: DataFrame, big: DataFrame, label: DataFrame, similar: f
         leaders *= 8
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size (rows) and kept (it is that one) for every row.
-
-    Null and empty texts, which have no shingle, are one class. Rows without doc_id join rows of the same shingle set
-    only, and a class of such rows alone has a negative class_id. Rows that share a doc_id but not their text are judged
-    by their own texts; texts of which that doc_id is the smallest are one class. Repeated rows with the doc_id that stays are all marked kept. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, similar: float, weighting: str) -> DataFrame:
+    """doc_id, th, class_id, class_size, keep (doc_id and th of the row that stays)."""
     rows = written(signed(docs, weighting), "signatures")
-    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("nid"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("nid", F.coalesce("nid", -1 - F.abs(F.shiftright("k1", 1)))), "nodes")
+    repeated = rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count() > 0
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("rep")
+    nodes = rows.groupBy("k1", "k2").agg(rep, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    texts = Texts(docs, nodes, repeated, weighting)
     banded = nodes.select("nid", "n", F.explode("bands").alias("h"))
     size = written(banded.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = written(banded.join(size, "h"), "buckets")
@@ -318,24 +347,40 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "se
     leads = big.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("nid", "n")).alias("l")).select("h", "l")
     led = big.join(leads, "h").where(F.col("nid") != F.col("l.nid")).where(ratio(F.col("n"), F.col("l.n")))
     pairs = written(pairs.union(led.select(F.least("nid", "l.nid"), F.greatest("nid", "l.nid"))).distinct(), "pairs")
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = verified(sets, pairs, similar)
     drop_written(sets)
     comp = components(links)
-    label = written(nodes.select("nid").distinct().join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
+    label = written(nodes.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
     if big.limit(1).count():
-        label = _joined_within(docs, big, label, similar)
-    ids = nodes.select("k1", "k2", "nid", "rows").join(label.withColumnRenamed("comp", "class_id"), "nid")
-    sizes = written(ids.groupBy("class_id").agg(F.sum("rows").alias("class_size")), "class-sizes")  # so that Spark can split the join's large classes
-    ids = ids.join(sizes, "class_id").select("k1", "k2", "class_id", "class_size")
-    return rows.select("doc_id", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
-
-
-def distinct_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs without the rows whose class keeps another; rows without doc_id stay."""
-    gone = written(near_classes(docs, similar).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    few = gone.count() <= FEW
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+        label = _joined_within(texts, big, label, similar)
+    ids = nodes.select("k1", "k2", "nid", "rows", "rep").join(label, "nid")
+    classes = ids.groupBy("comp").agg(F.sum("rows").alias("class_size"), F.min("rep").alias("keep"), F.min("k1").alias("k"))
+    class_id = F.coalesce("keep.doc_id", -1 - F.abs(F.shiftright("k", 1))).alias("class_id")
+    classes = written(classes.select("comp", "class_size", "keep", class_id), "class-sizes")  # so that Spark can split the joins' large classes
+    ids = written(ids.join(classes, "comp").select("k1", "k2", "class_id", "class_size", "keep"), "class-nodes")
+    return rows.select("doc_id", "th", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "th", "class_id", "class_size", "keep")
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size (rows) and kept for every row.
+
+    Null and empty texts, which have no shingle, are one class. Rows are judged by their own texts, also where they share
+    a doc_id or have none; a class of rows without doc_id has a negative class_id. The row with the smallest doc_id of a
+    class is kept, of several with it the one of the smallest text_hash; repeated rows of it are all marked kept. An
+    empty table gives no rows.
+    """
+    return _classes(docs, similar, weighting).select("doc_id", "class_id", "class_size", _stays().alias("kept"))
+
+
+def _stays():
+    return F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
+
+
+def distinct_documents(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
+    """One row of each class, the one that near_classes() keeps; of repeated rows the first of their JSON."""
+    rows = _classes(docs, similar, weighting).where("class_size > 1").select("doc_id", "th", _stays().alias("stays"))
+    return without(docs, written(rows.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "marks"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,11 +58,20 @@ class Space:
         v = np.column_stack([x @ self.axes * 4, (h[:, BINS:] - self.spread[0]) / self.spread[1]])
         return v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-12)
 
-    def score(self, h: np.ndarray) -> np.ndarray:
-        cosine = self.latent(h) @ self.rows.T
+    def nearest(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and cosines of the K most similar labelled rows; of equal cosines (to 12 digits) the first of the sample."""
+        cosine = np.round(self.latent(h) @ self.rows.T, 12)
         k = min(K, len(self.y))
         best = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.y) else np.tile(np.arange(k), (len(h), 1))
-        vote = (np.take_along_axis(cosine, best, 1) + 1) ** 4 * np.where(self.y[best] == 1, self.weight[1], self.weight[0])
+        own = np.take_along_axis(cosine, best, 1)
+        least = own.min(1, keepdims=True)
+        for i in np.flatnonzero((cosine == least).sum(1) > (own == least).sum(1)):
+            best[i] = np.argsort(-cosine[i], kind="stable")[:k]
+        return best, np.take_along_axis(cosine, best, 1)
+
+    def score(self, h: np.ndarray) -> np.ndarray:
+        best, cosine = self.nearest(h)
+        vote = (cosine + 1) ** 4 * np.where(self.y[best] == 1, self.weight[1], self.weight[0])
         return np.where(self.y[best] == 1, vote, 0).sum(1) / np.maximum(vote.sum(1), 1e-12)
 
 

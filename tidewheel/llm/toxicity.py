@@ -33,6 +33,17 @@ SAMPLE, EVIDENCE, THRESHOLD = 2500, 1.2, 0.3
 TILE, TOXIC = 512, 0.6
 
 
+def lowered(text: str) -> str:
+    """In lower case if that keeps every character's place, else as it is; tokens are cut from this."""
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
+def tokens(text: str) -> list[str]:
+    low = lowered(text)
+    return WORDS.findall(low) if low is not text or text.islower() else [w.lower() for w in WORDS.findall(text)]
+
+
 class Evidence(dict):
     """Features of a word, None without evidence; made when first asked for."""
 
@@ -222,14 +233,14 @@ class Tiles:
 
 def fit(texts: Sequence[str], y: np.ndarray, share: float, steps: int = 200) -> Field:
     """Without toxic or without other texts, all scores are the share of label 1."""
-    tokens = [[*map(intern, WORDS.findall(t.lower()))] for t in texts]
+    texts = [[*map(intern, tokens(t))] for t in texts]
     if not 0 < y.sum() < len(y):
         return Field({}, {}, np.array([0.0, 0, 0, -5]), np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    word = log_odds((set(t) for t in tokens), y)
-    begin = log_odds(({w[:n] for w in t for n in (4, 5) if len(w) >= n} for t in tokens), y)
+    word = log_odds((set(t) for t in texts), y)
+    begin = log_odds(({w[:n] for w in t for n in (4, 5) if len(w) >= n} for t in texts), y)
     field = Field(word, begin, np.array([1.0, 0.5, 0.5, -3.0]), np.zeros((2, 2)), np.zeros(2), np.zeros(4))
-    active = [field.active(t) for t in tokens]
-    tiles = Tiles([len(t) for t in tokens], active, y)
+    active = [field.active(t) for t in texts]
+    tiles = Tiles([len(t) for t in texts], active, y)
     theta = np.array([1.0, 0.5, 0.5, -3.0, 0, 0, 0, 0, 0])
     first, second = np.zeros(9), np.zeros(9)
     for i in range(1, steps + 1):  # Adam
@@ -237,7 +248,7 @@ def fit(texts: Sequence[str], y: np.ndarray, share: float, steps: int = 200) ->
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g**2
         theta = theta + 0.1 * first / (1 - 0.9**i) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
     field = Field(word, begin, theta[:4], theta[4:8].reshape(2, 2), np.array([0.0, theta[8]]), np.zeros(4))
-    x = np.array([field.summary(len(t), field.marginals(len(t), a)) for t, a in zip(tokens, active)])
+    x = np.array([field.summary(len(t), field.marginals(len(t), a)) for t, a in zip(texts, active)])
     odds = share / (1 - share) / (y.sum() / (len(y) - y.sum()))
     field.calibration = logistic(x, y, np.where(y == 1, odds, 1.0))
     return field
@@ -253,14 +264,13 @@ def scored(docs: DataFrame, field: Field, with_spans: bool = False) -> DataFrame
             for part, texts in spans(batch, "text"):
                 scores, found = [], []
                 for t in texts:
-                    words = WORDS.findall(t.lower())
+                    words = tokens(t)
                     a = own.active(words)
                     p = own.marginals(len(words), a)
                     scores.append(own.score(len(words), p))
                     if with_spans:
                         hit = {i: float(q) for (i, _), q in zip(a, p) if q >= 0.5}
-                        # lower() may change lengths, so offsets come from the words of the text itself
-                        found.append([{"start": m.start(), "end": m.end(), "p": hit[i]} for i, m in enumerate(WORDS.finditer(t)) if i in hit] if hit else [])
+                        found.append([{"start": m.start(), "end": m.end(), "p": hit[i]} for i, m in enumerate(WORDS.finditer(lowered(t))) if i in hit] if hit else [])
                 cols, names = [part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"]
                 if with_spans:
                     cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
@@ -285,7 +295,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             for part, texts in spans(batch, "text"):
                 keep = []
                 for t in texts:
-                    words = WORDS.findall(t.lower())
+                    words = tokens(t)
                     keep.append(own.score(len(words), own.marginals(len(words), own.active(words))) < threshold)
                 yield part.filter(pa.array(keep))
 
@@ -294,5 +304,5 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = scored(docs, trained(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = scored(docs, trained(docs, read(spark, sf_dir, "labels")), with_spans=True)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
