@@ -50,7 +50,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 class Words(dict):
     def __missing__(self, w: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[w] = xxhash.xxh64_intdigest(w)
         return out

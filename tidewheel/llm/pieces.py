@@ -30,7 +30,7 @@ MARK = "▁"
 MORE = "\x01"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Bytes of text that are encoded together.
-SPAN = 1 << 22
+SPAN = 1 << 20
 #: Pairs of pieces and steps of the automaton that a worker remembers before it starts anew.
 LEARNED = 1_500_000
 
@@ -70,7 +70,7 @@ class Pieces:
         held = {c for p in self.id for a, b in pairwise(p) for c in ((b,) if a.isalpha() else ()) + ((a,) if b.isalpha() else ())}
         cut = "".join(f"\\{c}" for c in string.punctuation + "\n" if c not in held) if kind == "bpe" else ""
         self.cuts = ((rf"([{_LETTERS}])([{cut}])", r"\1 \2"), (rf"([{cut}])([{_LETTERS}])", r"\1 \2")) if cut else ()
-        self.table = WordTable(self.encode_units, most=300_000)
+        self.table = WordTable(self.encode_units, most=150_000)
 
     def build(self) -> None:
         """An automaton of all pieces: goto[node][character] is the node of the longest piece's beginning that a text ends
@@ -269,7 +269,8 @@ class Pieces:
         """Whether each text's ids stand for its bytes, marks read as spaces."""
         data, sizes = self.surfaces(ids, counts)
         texts = pa.compute.replace_substring(texts, MARK, " ")
-        want = np.frombuffer(b"".join(t.as_buffer() for t in texts.cast(pa.binary())), np.uint8)
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        want = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         own = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
         same = sizes == own
         if same.all():

@@ -9,7 +9,12 @@ rewrites the texts, so texts are not shuffled.
 Given names are permuted inside their gender and script, so they can't collide, and so are the numbers of a format with
 at most SMALL values (addresses of one private network and number of digits): a corpus may hold all of them, so their
 surrogates may be other entities of it. Numbers of larger formats never leave the format; after PATIENCE attempts they
-too may be entities of the corpus. Surnames keep their script and emails stay valid, but both grow after PATIENCE.
+too may be entities of the corpus. Surnames keep their script and an ending that tells a gender, and emails stay valid,
+but both grow after PATIENCE. Secrets (keys with a known beginning, and values with a digit behind a word such as
+password) keep their beginning, length and kinds of characters.
+
+Persons are found by a given name of GIVEN with a surname behind it, a title, or a phrase such as "my name is"; other
+names are not looked for, as prose in which nouns have capitals would be full of them.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import read, spans, written
 
-KEY = b"replace this key"
+#: The key of the registered query alone: whoever replaces data of their own passes one of theirs.
+DEMO_KEY = b"replace this key"
 #: Entities of at most so many retries are broadcast; more reach their documents by a join.
 FEW = 200_000
 #: Attempts that no entity of the corpus may hold; later surnames and emails are a letter longer each, so that every entity gets a surrogate.
@@ -49,7 +55,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAMES = "|".join(sorted(_OF, key=len, reverse=True))
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zß-öø-ÿа-яёα-ωά-ώ]+"
 _NUMBERS = re.compile(
-    r"(?P<email>[\w.%+-]*[\w%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<key>\b(?:A[KS]IA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{16,}|gh[opsru]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![\w-]))"
+    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']? ?[:=] ?[\"']?)(?P<secret>(?=[\w./+-]*\d)[\w./+-]{8,})"
+    r"|(?P<email>[\w.%+-]*[\w%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w))"
@@ -59,10 +67,13 @@ _NUMBERS = re.compile(
 _PERSON = re.compile(rf"(?<!\w)(?P<given>{_NAMES})(?P<gap> (?:[A-Z]\. )?)(?P<surname>{_CAP}(?:-{_CAP})?)(?!\w)")
 _TITLES = "Mr Mrs Ms Dr Herr Frau Señor Señora Madame Monsieur".split()
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(_TITLES)})\.? (?P<surname>{_CAP})(?!\w)")
-_HINT = re.compile(r"[@\d]")
+_CUED = re.compile(rf"(?<!\w)(?:[Mm]y name is|I am called|[Ss]igned(?: by)?:?|[Ss]incerely,|[Rr]egards,)\s(?P<given>{_CAP})(?: [A-Z]\.)? (?P<surname>{_CAP}(?:-{_CAP})?)(?!\w)")
+_HINT = re.compile(r"[@\d]|A[KS]IA|sk-|gh[opsru]_|xox")
+#: Endings of surnames that tell a gender (fixed values).
+ENDINGS = "ская цкая ский цкий ова ева ёва ина ына ов ев ёв ин ын ová ska cka ski cki dóttir opoulou opoulos οπούλου όπουλος".split()
 _WORD = re.compile(r"\w+")
-#: Each match of _PERSON or _TITLED begins with one of these as a whole word.
-_BEGIN = {*_OF, *_TITLES}
+#: Each match of _PERSON, _TITLED or _CUED has one of these as a whole word.
+_BEGIN = {*_OF, *_TITLES, *"name called Signed signed Sincerely sincerely Regards regards".split()}
 
 
 def luhn(digits: str) -> bool:
@@ -79,6 +90,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if _HINT.search(text):
         for m in _NUMBERS.finditer(text):
             kind, s = m.lastgroup if m.lastgroup != "sep" else "card", m[0]
+            if kind in ("key", "secret"):
+                out.append((m.start(kind), m.end(kind), "secret", m[kind]))
+                continue
             digits = re.sub(r"\D", "", s)
             if kind == "phone":
                 digits = digits[-10:]
@@ -90,6 +104,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start("surname"), m.end("surname"), "surname", m["surname"].lower()))
             surnames.add(m["surname"])
             givens.add(m["given"])
+        surnames |= {n for m in _CUED.finditer(text) for n in (m["given"], m["surname"])} - givens
         surnames |= {m["surname"] for m in _TITLED.finditer(text)} - givens  # "Dr Anna Petersen"
         if givens := givens - surnames:  # either name alone, anywhere in the text, is the same person
             for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(givens, key=len, reverse=True))})(?!\w)", text):
@@ -227,7 +242,13 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     elif kind == "iban":
         out = norm[:2] + r.shaped(norm[2:].lower()).upper()
     elif kind == "surname":
-        out = r.shaped(norm)
+        end = next((e for e in ENDINGS if norm.endswith(e) and len(norm) > len(e) + 1), "")
+        out = r.shaped(norm[: len(norm) - len(end)]) + end
+    elif kind == "secret":
+        begin = next((b for b in ("AKIA", "ASIA", "sk-", norm[:4], norm[:5]) if norm.startswith(b) and re.fullmatch(r"A[KS]IA|sk-|gh[opsru]_|xox[abprs]-", b)), "")
+        own = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", norm) else None
+        pick = lambda c: own or ("0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c)
+        out = begin + "".join((a := pick(c))[r.below(len(a))] for c in norm[len(begin) :])
     elif kind == "card":
         d = [norm[0], *(str(r.below(10)) for _ in norm[1:])]
         if luhn(norm):
@@ -240,13 +261,13 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
             out = ".".join(map(str, d)) if kind == "ip" else "".join(str(x % 10) for x in d)
     if attempt >= PATIENCE and kind in ("email", "surname"):
         more = attempt - PATIENCE + 1
-        out = "".join(chr(ord("a") + r.below(26)) for _ in range(more)) + out if kind == "email" else out + r.shaped(norm[-1] * more)
+        out = "".join(chr(ord("a") + r.below(26)) for _ in range(more)) + out if kind == "email" else r.shaped(norm[:1] * more) + out
     return out
 
 
 def rendered(mention: str, kind: str, norm: str, new: str) -> str:
     """The surrogate in the mention's own format: its separators, its country code, its capitals."""
-    if kind in ("given", "ip"):
+    if kind in ("given", "ip", "secret"):
         return new
     if kind in ("phone", "card", "ssn"):
         digits = [i for i, c in enumerate(mention) if c.isdigit()][-len(norm) :]
@@ -263,7 +284,7 @@ def rendered(mention: str, kind: str, norm: str, new: str) -> str:
     return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new)) + new[len(mention) :]
 
 
-def retries(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def retries(docs: DataFrame, key: bytes) -> DataFrame:
     """kind, norm, attempt of the entities whose first surrogate was taken; written."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +317,7 @@ def retries(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         attempt += 1
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, entities (kind, start, end in the given text, surrogate).
 
     A null text stays null, without entities. Every row of docs gives a row, repeated ones too.
@@ -346,5 +367,5 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
 
 
-def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(read(spark, sf_dir, "documents"))
+def op1(spark: SparkSession, sf_dir: str, key: bytes = DEMO_KEY) -> DataFrame:
+    return replaced(read(spark, sf_dir, "documents"), key)

@@ -30,7 +30,7 @@ from .words import WordTable, gather
 LIMIT, STEP, BLOCK, PART = 18, 256, 1 << 18, 1 << 23
 _BLOCKS = "part int, block int, first long, n long, doc_ids array<long>, ends array<long>, checkpoints array<int>, payload binary"
 #: Bytes of text that are encoded together.
-SPAN = 1 << 23
+SPAN = 1 << 22
 #: How the public tokenizer cuts a text (fixed values of its file).
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII marks but the apostrophe. A text is plain if its letters are those of Latin-1, it has no other marks, no

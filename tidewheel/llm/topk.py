@@ -1,17 +1,19 @@
 """Exact top-k search by inner product over an impact-ordered index, score-at-a-time.
 
-Components are integers. A block of vectors is indexed by posting segments: the postings whose |impact| falls in one
-quantisation level, the highest level first, with the norm of what each vector still has below that level. A batch of
-queries is scored segment by segment; after each, query norm times remaining norm bounds what is missing (Cauchy-
-Schwarz), so a vector is out as soon as its upper bound is below the k-th best lower bound. Scoring stops only when
-no more than the possible members are left, and those are rescored exactly from the whole vectors.
-
-Query blocks meet index blocks by an equi-join on block numbers: a stated query set against all rows, in blocks.
+Components are integers. A block of vectors is indexed by segments of postings: those whose |impact| falls in one
+quantisation level, the highest level first, each as a list of vectors and impacts for every dimension, with the norm of
+what each vector still has below that level. A level that holds most components of its block is kept as a matrix, which
+is the shorter form. A batch of queries is scored segment by segment; after each, query norm times remaining norm bounds
+what is missing (Cauchy-Schwarz), so a vector is out as soon as its upper bound is below the k-th best lower bound. A
+query stops only when no more than the possible members are left, and those are rescored exactly from whole vectors.
+
+Index blocks stay where they are; query blocks, which are fewer, are copied to each of them: an equi-join on block
+numbers, of a stated query set with all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import read
 
 QUERY_ROWS, INDEX_ROWS = 512, 8192
+#: Levels begin at these parts of the largest impact; part of the components from which a level is a matrix.
+LEVELS, DENSE = (1 / 2, 1 / 4, 1 / 8), 1 / 4
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -35,43 +39,58 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 class Index:
     """Posting segments of one block of integer vectors (rows), and bounds on what follows each segment."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: Sequence[float] = LEVELS):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
         size = np.abs(self.rows)
-        top = int(size.max()) if size.size else 0
-        cuts = [c for c in (top // 4 + 1, top // 8 + 1) if c > 1]
-        self.segments, self.left, high = [], [], None
-        for cut in [*dict.fromkeys(cuts), 0]:
-            inside = (size >= cut) & ((size < high) if high is not None else True)
-            self.segments.append(np.where(inside, self.rows, 0))
-            self.left.append(np.sqrt((np.where(size < cut, self.rows, 0).astype(float) ** 2).sum(1)) if cut else np.zeros(len(ids)))
+        top = int(size.max(initial=0))
+        self.segments, self.left, high = [], [], top + 1
+        for cut in [*sorted({int(top * x) + 1 for x in levels} - {1, top + 1}, reverse=True), 1]:
+            inside = (size >= cut) & (size < high)
+            self.segments.append(np.where(inside, self.rows, 0) if inside.sum() > DENSE * size.size else self.postings(inside))
+            self.left.append(np.sqrt((np.where(size < cut, self.rows, 0).astype(float) ** 2).sum(1)))
             high = cut
+        #: (query, segment) pairs scored, and those that a query without early stop would take.
+        self.done = self.all = 0
+
+    def postings(self, inside: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each dimension that has any: the vectors, and their impacts."""
+        dim, at = np.nonzero(inside.T)
+        cuts = np.searchsorted(dim, np.arange(inside.shape[1] + 1))
+        return [(d, at[a:b], self.rows[at[a:b], d]) for d, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(vec_ids, scores) of each query's best k, its own id left out."""
         big = int(np.abs(queries).max(initial=0)) * int(np.abs(self.rows).max(initial=0)) * max(1, self.rows.shape[1])
         kind = np.float32 if big < 1 << 24 else np.float64 if big < 1 << 53 else np.int64
         norm = np.sqrt((queries.astype(float) ** 2).sum(1))
-        q, found = queries.astype(kind), [None] * len(ids)
-        score = np.zeros((len(ids), len(self.ids)), kind)
-        open_ = np.arange(len(ids))
-        for part, left in zip(self.segments, self.left):
-            score[open_] += q[open_] @ part.T.astype(kind)
+        q, found = np.ascontiguousarray(queries.T.astype(kind)), [None] * len(ids)  # a column a query, as in score
+        score, open_ = np.zeros((len(self.ids), len(ids)), kind), np.arange(len(ids))
+        self.all += len(ids) * len(self.segments)
+        for s, (part, left) in enumerate(zip(self.segments, self.left)):
+            self.done += len(open_)
+            if isinstance(part, np.ndarray):
+                score += part.astype(kind) @ q
+            else:
+                for d, at, impact in part:
+                    score[at] += impact.astype(kind)[:, None] * q[d]
             rest = []
-            for i in open_.tolist():
-                lo = hi = score[i]
+            for c, i in enumerate(open_.tolist()):
+                lo = hi = score[:, c]
                 if norm[i] * left.max(initial=0) > 0:
                     slack = norm[i] * left * (1 + 1e-9)
-                    lo, hi = score[i] - slack, score[i] + slack
+                    lo, hi = lo - slack, hi + slack
                 keep = self.members(lo, hi, ids[i], k)
-                if part is not self.segments[-1] and len(keep) > max(4 * k, len(self.ids) // 64):
-                    rest.append(i)
+                if s + 1 < len(self.segments) and len(keep) > max(4 * k, len(self.ids) // 64):
+                    rest.append(c)
                     continue
                 exact = self.rows[keep] @ queries[i]
                 best = np.lexsort((self.ids[keep], -exact))[:k]
                 found[i] = (self.ids[keep][best], exact[best])
-            open_ = np.array(rest, np.int64)
+            if not rest:
+                break
+            if len(rest) < len(open_):
+                open_, q, score = open_[rest], q[:, rest], score[:, rest]
         return found
 
     def members(self, lo: np.ndarray, hi: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -120,28 +139,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_rows: int = QUERY_ROW
     vectors: vec_id, v (long array); shorter vectors count as padded with zeros. Fewer than k others give all of them;
     rows repeated under one vec_id are candidates each, but none for queries of that id. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
     n, m = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     parts, q_parts = max(1, -(-n // index_rows)), max(1, -(-m // query_rows))
     # whole blocks a task: rows are dealt round so that every task has about as many
-    index = _blocked(vectors.select("vec_id", "v").repartition(parts), index_rows, "i")
+    index = _blocked(vectors.select("vec_id", "v").repartition(parts), index_rows, "i").withColumn("no", F.spark_partition_id())
     queries = _blocked(vectors.where(is_query).select("vec_id", "v").repartition(q_parts), query_rows, "q")
-    # each pair of blocks meets once: index blocks are copied to one slot for each query slot, queries to all slots of theirs
-    slots = spark.range(q_parts).agg(F.collect_list(F.col("id").cast("int"))).first()[0]
-    left = index.withColumn("slot", F.explode(F.array(*[F.lit(s) for s in slots])))
-    right = queries.withColumn("slot", F.pmod(F.xxhash64("q_ids"), F.lit(q_parts)).cast("int"))
+    copies = queries.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def search(batches):
+        last, index = None, None
         for batch in batches:
             for r in batch.to_pylist():
                 width = max(r["i_width"], r["q_width"])
-                index = Index(*_unpacked(r["i_ids"], r["i_rows"], r["i_width"], width))
+                if last != (r["no"], r["i_ids"], width):  # the same for all query blocks that follow
+                    last, index = (r["no"], r["i_ids"], width), Index(*_unpacked(r["i_ids"], r["i_rows"], r["i_width"], width))
                 ids, rows = _unpacked(r["q_ids"], r["q_rows"], r["q_width"], width)
                 found = index.search(ids, rows, k)
                 of = np.repeat(ids, [len(f[0]) for f in found])
                 yield pa.record_batch([pa.array(of), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
-    pairs = left.join(right, "slot").repartition(parts * q_parts).select("i_ids", "i_rows", "i_width", "q_ids", "q_rows", "q_width")
+    pairs = index.join(copies.hint("shuffle_hash"), "no").select("no", "i_ids", "i_rows", "i_width", "q_ids", "q_rows", "q_width")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.mapInArrow(search, _RESULT).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -52,7 +52,7 @@ class Evidence(dict):
         self.word, self.begin = word, begin
 
     def __missing__(self, w: str):
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         f = (self.word.get(w, 0.0), self.begin.get(w[:4], 0.0), self.begin.get(w[:5], 0.0) if len(w) > 4 else 0.0)
         out = self[w] = f if any(f) else None

@@ -11,9 +11,12 @@ import pyarrow as pa
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of flat[s : s + n] for each start and length."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    kind = np.int32 if len(flat) + total < 1 << 31 else np.int64  # half the memory of the index
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class WordTable:
@@ -23,7 +26,7 @@ class WordTable:
     at most, and the others go; results don't depend on that.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint32, most: int = 400_000):
+    def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint32, most: int = 250_000):
         self.encode, self.most = encode, most
         self.at: dict[str, int] = {}
         self.flat = np.zeros(0, dtype)
