@@ -1,4 +1,7 @@
-"""Exceptions, raised while a plan is built."""
+"""Exceptions, raised while a plan is built, and the mark of deprecated functions."""
+
+import functools
+import warnings
 
 
 class DateError(Exception):
@@ -33,3 +36,18 @@ class TimeSeriesCompatibilityError(TimeSeriesError):
     def __init__(self, mode: str, first, second):
         super().__init__(f"incompatible series ({mode}): {first} and {second}")
         self.mode = mode
+
+
+def deprecated_for(instead: str):
+    """A function that still works, and says what to use in its place."""
+
+    def mark(f):
+        @functools.wraps(f)
+        def call(*args, **kwargs):
+            warnings.warn(f"{f.__name__} is deprecated, use {instead}", DeprecationWarning, stacklevel=2)
+            return f(*args, **kwargs)
+
+        call.__doc__ = f"Deprecated: use {instead}.\n\n{f.__doc__ or ''}"
+        return call
+
+    return mark

@@ -85,21 +85,39 @@ def spline(y, order: int):
     inner = at[drop + 1 : len(at) - drop - 1].astype(float)
     knots = np.concatenate([[at[0]] * (k + 1), inner, [at[-1]] * (k + 1)]).astype(float)
 
+    n = len(at)
+
     def basis(x):
-        n = len(knots) - 1
-        i = np.clip(np.searchsorted(knots, x, side="right") - 1, k, len(knots) - k - 2)
-        b = np.zeros((len(x), n))
-        b[np.arange(len(x)), i] = 1
+        """First of the k + 1 functions that are not 0 at each x, and their values."""
+        i = np.clip(np.searchsorted(knots, x, side="right") - 1, k, n - 1)
+        b = np.zeros((len(x), k + 1))
+        b[:, 0] = 1
         for d in range(1, k + 1):
-            new = np.zeros((len(x), n - d))
-            for j in range(n - d):
-                if (w := knots[j + d] - knots[j]) > 0:
-                    new[:, j] += (x - knots[j]) / w * b[:, j]
-                if (w := knots[j + d + 1] - knots[j + 1]) > 0:
-                    new[:, j] += (knots[j + d + 1] - x) / w * b[:, j + 1]
-            b = new
-        return b
-
-    c = np.linalg.solve(basis(at.astype(float)), y[at])
-    out[inside] = np.where(np.isnan(y[inside]), basis(inside.astype(float)) @ c, y[inside])
+            carry = np.zeros(len(x))
+            for j in range(d):
+                low, high = knots[i - d + 1 + j], knots[i + 1 + j]
+                part = b[:, j] / (high - low)
+                b[:, j] = carry + (high - x) * part
+                carry = (x - low) * part
+            b[:, d] = carry
+        return i - k, b
+
+    # the matrix is banded and totally positive: elimination needs no pivots, and a row reaches k columns to either side
+    first, values = basis(at.astype(float))
+    band, y_ = np.zeros((n, 2 * k + 1)), y[at].astype(float)  # column j of row r is band[r, j - r + k]
+    for m in range(k + 1):
+        off = first + m - np.arange(n) + k
+        ok = (off >= 0) & (off <= 2 * k)
+        band[np.flatnonzero(ok), off[ok]] = values[ok, m]
+    for r in range(n):
+        for q in range(r + 1, min(n, r + k + 1)):
+            if factor := band[q, r - q + k] / band[r, k]:
+                band[q, r - q + k : r - q + 2 * k + 1] -= factor * band[r, k:]
+                y_[q] -= factor * y_[r]
+    c = np.zeros(n + k)
+    for r in range(n - 1, -1, -1):
+        c[r] = (y_[r] - band[r, k + 1 :] @ c[r + 1 : r + k + 1]) / band[r, k]
+    start, b = basis(inside.astype(float))
+    made = (b * c[start[:, None] + np.arange(k + 1)]).sum(1)
+    out[inside] = np.where(np.isnan(y[inside]), made, y[inside])
     return out

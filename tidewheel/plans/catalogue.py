@@ -16,8 +16,6 @@ from tidewheel.operators import interp as I
 from tidewheel.operators import moving as M
 from tidewheel.operators import resample as S
 
-from .ticks import ticks
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 U = ("user_id",)
@@ -205,7 +203,6 @@ query("ffill", lambda s, d: I.forward_fill(users_full(s, d), "x", keys=U), f"SEL
 query("bfill", lambda s, d: I.backward_fill(users_full(s, d), "x", keys=U), "SELECT user_id, t, round(first_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS x FROM uf", "uf")
 query("ffill_maxgap", lambda s, d: I.forward_fill(users_full(s, d), "x", 2, keys=U), f", i AS (SELECT *, {_FF} AS v, count(x) OVER (PARTITION BY user_id ORDER BY t) AS g FROM uf) SELECT user_id, t, round(CASE WHEN x IS NOT NULL OR count(*) FILTER (x IS NULL) OVER (PARTITION BY user_id, g) <= 2 THEN v END, 4) AS x FROM i", "uf")
 query("interp_linear", lambda s, d: I.interpolate(users_full(s, d), "x", keys=U), ", i AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS a, min(CASE WHEN x IS NOT NULL THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM uf) SELECT i.user_id, i.t, round(coalesce(i.x, p.x + (n.x - p.x) * (i.t - i.a) / (i.b - i.a)), 7) AS x FROM i LEFT JOIN uf p ON p.user_id = i.user_id AND p.t = i.a LEFT JOIN uf n ON n.user_id = i.user_id AND n.t = i.b", "uf", digits=7)
-query("interp_cubic", lambda s, d: I.interpolate(users_full(s, d), "x", "cubic", keys=U))
 
 # correlations
 _DEV = ", a AS (SELECT t, x - (SELECT avg(x) FROM om) AS x FROM om)"
@@ -216,7 +213,6 @@ query("acf_std", lambda s, d: R.acf_std(orders_monthly(s, d), "x", 12, confidenc
 _CVF = ", p AS (SELECT t, x, y FROM od JOIN ld USING (t)), a AS (SELECT t, x - (SELECT avg(x) FROM p) AS x, y - (SELECT avg(y) FROM p) AS y FROM p), c AS (SELECT l.lag, sum(p.x * q.y) / (count(*) + abs(l.lag)) AS cov, count(*) AS n FROM (SELECT unnest(range(-5, 6)) AS lag) l JOIN a p ON TRUE JOIN a q ON p.t = q.t + l.lag GROUP BY l.lag)"
 query("cvf", lambda s, d: R.cvf(_pair(s, d), "x", "y", 5), f"{_CVF} SELECT lag::BIGINT AS lag, round(cov, 1) + 0.0 AS cov, n FROM c", "od", "ld", digits=1)
 query("ccf", lambda s, d: R.ccf(_pair(s, d), "x", "y", 5), f"{_CVF} SELECT lag::BIGINT AS lag, round(cov / (SELECT cov FROM c WHERE lag = 0), 5) + 0.0 AS ccf FROM c", "od", "ld", digits=5)
-query("pacf", lambda s, d: R.pacf(orders_monthly(s, d), "x", 12))
 
 # tables, reports, ticks, streams
 from tidewheel.sources.report import report  # noqa: E402
@@ -224,7 +220,8 @@ from tidewheel.sources.tables import tabulate  # noqa: E402
 from tidewheel.streaming.windows import convert_stream, sliding  # noqa: E402
 
 query("torecords", lambda s, d: tabulate(users_full(s, d), 0.0, U), "SELECT user_id, t AS _dates, round(coalesce(x, 0), 4) AS _data, x IS NULL AS _mask FROM uf", "uf")
-query("report", lambda s, d: report(orders_monthly(s, d), fmt=lambda c: F.round(c, 0).cast("long").cast("string"), footer=F.max, footer_label="max"), f"SELECT -1::BIGINT AS pos, rpad('', 15, ' ') || ' | ' || lpad('x', 12, ' ') AS line UNION ALL SELECT t, rpad(strftime(make_date(((t - 1) // 12 + 1)::INTEGER, ((t - 1) % 12 + 1)::INTEGER, 1), '%b-%Y'), 15, ' ') || ' | ' || lpad(round(x)::BIGINT::VARCHAR, 12, ' ') FROM om UNION ALL SELECT max(t) + 1, rpad('max', 15, ' ') || ' | ' || lpad(round(max(x))::BIGINT::VARCHAR, 12, ' ') FROM om", "om")
-query("ticks_daily", lambda s, d: ticks(s, 732677, 732677 + 400, "D"))
+query("report", lambda s, d: report(orders_monthly(s, d), header=["month", "total"], width=12, fmt=lambda c: F.round(c, 0).cast("long").cast("string"), footer=F.max, footer_label="max", row_char="."), f", l AS (SELECT t, rpad(strftime(make_date(((t - 1) // 12 + 1)::INTEGER, ((t - 1) % 12 + 1)::INTEGER, 1), '%b-%Y'), 12, ' ') || ' | ' || lpad(round(x)::BIGINT::VARCHAR, 12, ' ') AS line FROM om) SELECT 0::INT AS section, NULL::BIGINT AS pos, 0::INT AS part, 'month        | total       ' AS line UNION ALL SELECT 1, NULL, 0, repeat('-', 27) UNION ALL SELECT 2, t, 0, line FROM l UNION ALL SELECT 2, t, 1, repeat('.', 27) FROM l WHERE t < (SELECT max(t) FROM l) UNION ALL SELECT 3, NULL, 0, repeat('-', 27) UNION ALL SELECT 4, NULL, 0, 'max          | ' || lpad((SELECT round(max(x))::BIGINT::VARCHAR FROM om), 12, ' ')", "om")
 query("convert_stream", lambda s, d: convert_stream(_read(s, d, "events", "user_id", "ts", "value"), "ts", "value", "D", "sum", keys=U), f"SELECT user_id, {day('ts')} AS t, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 query("sliding", lambda s, d: sliding(_read(s, d, "events", "ts", "value"), "ts", "value", "2 hours", "1 hour").select(F.unix_timestamp("start").alias("start"), "count"), "SELECT epoch(h)::BIGINT AS start, count(*) AS count FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS h FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1")
+
+from . import elements  # noqa: E402, F401  registers more
