@@ -132,7 +132,7 @@ _FORMULA = {
 for _name, _kind in _SPAN.items():
     _ws = f"[{_FORMULA[_name]} FOR j IN range(5)]" if _name in _FORMULA else "[" + ", ".join(repr(float(v)) for v in M.window_weights(_kind, 5)) + "]::DOUBLE[]"
     _terms = " + ".join(f"CASE WHEN abs(w[{i + 1}]) > 1e-15 THEN w[{i + 1}] * {'lag' if i < 2 else 'lead'}(x, {abs(i - 2)}) OVER (ORDER BY t) ELSE 0 END" for i in range(5))
-    query(f"cmov_window_{_name}", lambda s, d, k=_kind: M.cmov_window(A.fill_missing_dates(orders_daily(s, d)), "x", 5, k, True), f", k AS (SELECT {_ws} AS w) SELECT t, round(CASE WHEN min(n) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) IS NOT NULL AND count(*) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN ({_terms}) / list_sum(w) END, 3) AS x FROM (SELECT *, 1 AS n FROM of), k", "of", digits=3)
+    query(f"cmov_window_{_name}", lambda s, d, k=_kind: M.cmov_window(A.fill_missing_dates(orders_daily(s, d)), "x", 5, k, True), f", k AS (SELECT {_ws} AS w) SELECT t, round(CASE WHEN min(n) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) IS NOT NULL AND count(*) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN ({_terms}) / list_sum(w) END, 4) AS x FROM (SELECT *, 1 AS n FROM of), k", "of", digits=4)
 
 
 def _poly(c, n):
