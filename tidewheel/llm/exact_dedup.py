@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, ascii_lower, read, text_hash, without, written
+from .common import FEW, ascii_lower, drop_written, read, text_hash, without, written
 
 #: Least and most characters of a chunk; between them the content decides.
 LEAST, MOST = 256, 4096
@@ -40,8 +40,8 @@ def clashing(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
 FEW_BYTES = 16 << 20
 
 
-def _grouped(docs: DataFrame, normalise, few_bytes: int | None = None) -> DataFrame:
-    """recipes() with keep (doc_id and th of the row that stays) and group_size.
+def _grouped(docs: DataFrame, normalise, few_bytes: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """recipes() with keep (doc_id and th of the row that stays) and group_size; and the written tables under it.
 
     Recipes of single texts go no further than the aggregate. The groups of several are few or small enough to be
     broadcast, so that no row moves, or meet their rows by a join of two written tables, of which Spark splits hot keys.
@@ -56,7 +56,7 @@ def _grouped(docs: DataFrame, normalise, few_bytes: int | None = None) -> DataFr
     n, size = groups.agg(F.count(F.lit(1)), F.sum(F.size("recipe") * 16)).first()
     fits = n <= FEW and (size or 0) <= (FEW_BYTES if few_bytes is None else few_bytes)
     both = rows.join(F.broadcast(groups) if fits else groups, "recipe", "left").drop("recipe")
-    return both.withColumns({"keep": F.coalesce("keep", F.struct("doc_id", "th")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return both.withColumns({"keep": F.coalesce("keep", F.struct("doc_id", "th")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}), [rows, groups]
 
 
 def exact_groups(docs: DataFrame, normalise=ascii_lower, few_bytes: int | None = None) -> DataFrame:
@@ -66,17 +66,21 @@ def exact_groups(docs: DataFrame, normalise=ascii_lower, few_bytes: int | None =
     where all of its group are null. Of repeated rows with the doc_id that stays, all are marked kept; deduplicated()
     keeps one. An empty table gives no rows.
     """
-    rows = _grouped(docs, normalise, few_bytes)
+    rows, _ = _grouped(docs, normalise, few_bytes)
     return rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, normalise=ascii_lower) -> DataFrame:
     """docs with one row of each group of equal texts, the one with the largest doc_id; other columns untouched. Of
     several rows with that doc_id the one with the largest text_hash stays, of repeated ones the first of their JSON."""
-    rows = _grouped(docs, normalise).where("group_size > 1")
+    rows, under = _grouped(docs, normalise)
+    rows = rows.where("group_size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
     marks = rows.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
-    return without(docs, written(marks, "marks"))
+    marks = written(marks, "marks")
+    for table in under:
+        drop_written(table)
+    return without(docs, marks)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

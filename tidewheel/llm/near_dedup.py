@@ -327,8 +327,8 @@ def _joined_within(texts: Texts, big: DataFrame, label: DataFrame, similar: floa
         leaders *= 8
 
 
-def _classes(docs: DataFrame, similar: float, weighting: str) -> DataFrame:
-    """doc_id, th, class_id, class_size, keep (doc_id and th of the row that stays)."""
+def _classes(docs: DataFrame, similar: float, weighting: str) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, th, class_id, class_size, keep (doc_id and th of the row that stays); and the written tables under it."""
     rows = written(signed(docs, weighting), "signatures")
     repeated = rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count() > 0
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("rep")
@@ -349,17 +349,22 @@ def _classes(docs: DataFrame, similar: float, weighting: str) -> DataFrame:
     pairs = written(pairs.union(led.select(F.least("nid", "l.nid"), F.greatest("nid", "l.nid"))).distinct(), "pairs")
     sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = verified(sets, pairs, similar)
-    drop_written(sets)
     comp = components(links)
     label = written(nodes.select("nid").join(comp, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "classes")
+    for table in (sets, pairs, links, comp):
+        drop_written(table)
     if big.limit(1).count():
         label = _joined_within(texts, big, label, similar)
+    for table in (size, shared):
+        drop_written(table)
     ids = nodes.select("k1", "k2", "nid", "rows", "rep").join(label, "nid")
     classes = ids.groupBy("comp").agg(F.sum("rows").alias("class_size"), F.min("rep").alias("keep"), F.min("k1").alias("k"))
     class_id = F.coalesce("keep.doc_id", -1 - F.abs(F.shiftright("k", 1))).alias("class_id")
     classes = written(classes.select("comp", "class_size", "keep", class_id), "class-sizes")  # so that Spark can split the joins' large classes
     ids = written(ids.join(classes, "comp").select("k1", "k2", "class_id", "class_size", "keep"), "class-nodes")
-    return rows.select("doc_id", "th", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "th", "class_id", "class_size", "keep")
+    for table in (nodes, label, classes):
+        drop_written(table)
+    return rows.select("doc_id", "th", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "th", "class_id", "class_size", "keep"), [rows, ids]
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
@@ -370,7 +375,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighting: str = "se
     class is kept, of several with it the one of the smallest text_hash; repeated rows of it are all marked kept. An
     empty table gives no rows.
     """
-    return _classes(docs, similar, weighting).select("doc_id", "class_id", "class_size", _stays().alias("kept"))
+    return _classes(docs, similar, weighting)[0].select("doc_id", "class_id", "class_size", _stays().alias("kept"))
 
 
 def _stays():
@@ -379,8 +384,12 @@ def _stays():
 
 def distinct_documents(docs: DataFrame, similar: float = SIMILAR, weighting: str = "set") -> DataFrame:
     """One row of each class, the one that near_classes() keeps; of repeated rows the first of their JSON."""
-    rows = _classes(docs, similar, weighting).where("class_size > 1").select("doc_id", "th", _stays().alias("stays"))
-    return without(docs, written(rows.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "marks"))
+    rows, under = _classes(docs, similar, weighting)
+    rows = rows.where("class_size > 1").select("doc_id", "th", _stays().alias("stays"))
+    marks = written(rows.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "marks")
+    for table in under:
+        drop_written(table)
+    return without(docs, marks)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
