@@ -1,4 +1,4 @@
-"""Calendar values and series results known beforehand."""
+"""Calendar values and series results known beforehand: fixed values, listed in FIXTURES.md (gaps and duplicates: its section E)."""
 
 import datetime as dt
 

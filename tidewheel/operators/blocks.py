@@ -18,12 +18,12 @@ BLOCK = 4096
 
 
 def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """left joined to right where all of on are equal, nulls equal to each other; columns of on are left's (of a full
-    join: of either)."""
+    """left joined to right where all of on are equal, nulls of keys equal to each other; columns of on are left's (of a
+    full join: of either). Periods and block numbers are never null, so Spark can reuse a partitioning by them."""
     other = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
     ok = F.lit(True)
     for c in on:
-        ok = ok & left[c].eqNullSafe(other[f"__r_{c}"])
+        ok = ok & (left[c] == other[f"__r_{c}"] if c in ("t", "__b", "__s") else left[c].eqNullSafe(other[f"__r_{c}"]))
     out = left.join(other, ok, how) if on else left.crossJoin(other)
     if how == "full":
         out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__r_{c}")) for c in on})
