@@ -19,8 +19,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document, in training order."""
-    return mixing.curriculum(docs).select(*docs.columns)
+    """A row for each pass over a document, in training order, by weights that change with time."""
+    return mixing.ordered(docs, ramps=mixing.RAMPS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

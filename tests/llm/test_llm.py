@@ -168,7 +168,9 @@ def test_mixing_schedule(spark):
 
 def test_mixing_on_odd_rows(odd, none):
     assert mixing.mixed(odd).count() == len(ODD) and mixing.mixed(none).count() == 0 and mixing.curriculum(none).count() == 0
-    assert mixing.curriculum(odd.drop("position")).columns == [*odd.drop("position").columns, "pass_no", "position"] and mixing.curriculum(odd.drop("position")).count() > 0
+    out = mixing.curriculum(odd.withColumn("target", F.lit("own")))
+    assert out.columns == [*[c for c in odd.columns if c != "position"], "pass_no", "position"] and out.count() > 0 and out.where("target <> 'own'").count() == 0
+    assert mixing.ordered(odd).columns == odd.columns and mixing.ordered(odd).where("position <> 1").count() == 0
 
 
 def test_mixing_spreads_rows_that_share_a_doc_id(spark):

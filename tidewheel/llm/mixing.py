@@ -139,14 +139,30 @@ def position(words) -> F.Column:
     return s + (t - s) * F.coalesce((x - a) / F.when(b > a, b - a), F.lit(0.0))
 
 
-def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """The training order: a row for every pass over a document that takes at least half of it, with its position,
-    range-sorted by it. Columns of docs, then pass_no (from 1) and position (0 to 1)."""
-    out = mixed(docs, **how)
+def _passes(docs: DataFrame, **how) -> DataFrame:
+    """A row for every pass over a document that takes at least half of it, in training order: columns of docs, whose
+    names begin with __own_ here, then __pass and __at."""
+    need = ("doc_id", "source", "text")
+    own = docs.select(*need, *[F.col(f"`{c}`").alias(f"__own_{c}") for c in docs.columns if c not in need])
+    out = mixed(own, **how)
     copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
     out = out.withColumn("__copies", copies).where("__copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     middle = (F.col("__pass") - 1) * F.col("source_size") + F.col("__before") + F.col("__size") / 2
-    return out.withColumn("__at", position(middle)).sort("__at", "__key").select(*docs.columns, F.col("__pass").alias("pass_no"), F.col("__at").alias("position"))
+    back = [F.col(c if c in need else f"`__own_{c}`").alias(c) for c in docs.columns]
+    return out.withColumn("__at", position(middle)).sort("__at", "__key").select(*back, "__pass", "__at")
+
+
+def curriculum(docs: DataFrame, **how) -> DataFrame:
+    """The training order: a row for every pass over a document that takes at least half of it, range-sorted by its
+    position. Columns of docs, then pass_no (from 1) and position (0 to 1), which replace columns of these names."""
+    gone = [c for c in ("pass_no", "position") if c in docs.columns]
+    out = _passes(docs.drop(*gone), **how)
+    return out.withColumnsRenamed({"__pass": "pass_no", "__at": "position"})
+
+
+def ordered(docs: DataFrame, **how) -> DataFrame:
+    """curriculum() with the columns of docs alone, whatever their names."""
+    return _passes(docs, **how).drop("__pass", "__at")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
