@@ -106,10 +106,26 @@ def spans(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator[
         yield part, text.to_pylist()
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), after which a worker gives its free memory back: workers outlive tasks and stages."""
+#: What a worker keeps from task to task, by name: a function that lets go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, let_go: Callable[[], None]) -> None:
+    _kept[name] = let_go
+
+
+def only_keep(name: str) -> None:
+    """Lets go of what tasks of other kinds kept."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema), after which a worker gives its free memory back: workers outlive tasks and stages.
+    keeps: the name of what run keeps from task to task; tasks of other kinds let go of it."""
 
     def released(batches):
+        only_keep(keeps)
         try:
             yield from run(batches)
         finally:

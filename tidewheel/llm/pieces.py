@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, read, slices
+from .common import in_arrow, keep, read, slices
 from .words import WordTable, gather
 
 MARK = "▁"
@@ -293,6 +293,7 @@ _models: dict[tuple[str, str | None], Pieces] = {}
 def model(path: str, kind: str | None = None) -> Pieces:
     if (path, kind) not in _models:
         _models[path, kind] = Pieces(path, kind)
+    keep("pieces", _models.clear)
     return _models[path, kind]
 
 
@@ -312,7 +313,7 @@ def encoded(docs: DataFrame, path: str, kind: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column(0), lists, pa.array(counts, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, n_ids long, round_trip boolean", "pieces")
 
 
 def decoded(rows: DataFrame, path: str, kind: str | None = None) -> DataFrame:
@@ -324,7 +325,7 @@ def decoded(rows: DataFrame, path: str, kind: str | None = None) -> DataFrame:
             texts = [m.decode(np.array(ids or [], np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return in_arrow(rows.select("doc_id", "ids"), run, "doc_id long, text string")
+    return in_arrow(rows.select("doc_id", "ids"), run, "doc_id long, text string", "pieces")
 
 
 def default_model() -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, spans
+from .common import in_arrow, read, spans
 from .learning import held_out, sample
 
 #: Rows of either label at most; size of the histogram, of the latent space, and of the vote.
@@ -105,7 +105,7 @@ def scored(docs: DataFrame, space: Space | float) -> DataFrame:
                     s = np.full(len(h), own) if isinstance(own, float) else own.score(h)
                     yield pa.record_batch([part.column(0).slice(i, len(h)), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Space | float:

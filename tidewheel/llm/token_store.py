@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, in_arrow, read, shared_dir, slices, written
+from .common import drop_written, in_arrow, keep, read, shared_dir, slices, written
 from .words import WordTable, gather
 
 LIMIT, STEP, BLOCK, PART = 18, 256, 1 << 18, 1 << 23
@@ -118,6 +118,7 @@ def _encoder(path: str) -> Encoder:
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         _encoders[path] = Encoder(path)
+    keep("tokens", _encoders.clear)
     return _encoders[path]
 
 
@@ -145,7 +146,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, wide: bool | None = None)
                 h = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.record_batch([part.column(0), pa.array(h, pa.int64()), pa.array(counts + 1, pa.int64()), out], ["doc_id", "h", "n", "ids"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, h long, n long, ids binary")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, h long, n long, ids binary", "tokens")
 
 
 def is_wide(path: str, end_id: int) -> bool:
