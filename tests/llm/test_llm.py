@@ -1,5 +1,6 @@
 """Each operator against SQL, brute force or held-out accuracy, and on nulls, empty and long texts, repeats and empty tables."""
 
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -545,7 +546,7 @@ def test_token_files_on_odd_rows(spark, odd, none, part, monkeypatch):
     t = Tokenizer.from_file(path)
     strange = ["don't \"'t\" 'tis", "<|endoftext|> <|ENDOFTEXT|>", "İ É e\u0301 ½ 12ab", "a—b, «c» d's 日本", "Tabs\tand\u00a0spaces  x", "ÀÉ!! ß_y", "(a)b.c"]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(None, s) for s in strange] + [(7, s) for s in strange], "doc_id long, text string"))
-    at = f"{token_store.shared_dir(spark)}/test-tokens-{part}"
+    at = f"{token_store.shared_dir(spark)}/test-tokens-{uuid.uuid4().hex}"
     tokens = written(token_store.tokenised(docs, path, 1, False).withColumn("row", F.monotonically_increasing_id()), "tokens")
     token_store.write(tokens, at, False)
     got = token_store.read_back(spark, at, True).sort("start").collect()
