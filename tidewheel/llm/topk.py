@@ -158,7 +158,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_rows: int = QUERY_ROW
                 of = np.repeat(ids, [len(f[0]) for f in found])
                 yield pa.record_batch([pa.array(of), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
-    pairs = index.join(copies.hint("shuffle_hash"), "no").select("no", "i_ids", "i_rows", "i_width", "q_ids", "q_rows", "q_width")
+    # as many tasks as index blocks, however small: the work is in the products
+    pairs = index.repartition(parts, "no").join(copies.repartition(parts, "no").hint("shuffle_hash"), "no").select("no", "i_ids", "i_rows", "i_width", "q_ids", "q_rows", "q_width")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.mapInArrow(search, _RESULT).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
