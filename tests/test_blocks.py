@@ -80,6 +80,41 @@ def test_plans_without_keys_have_no_whole_window(spark, monkeypatch):
         assert "__b" in plan
 
 
+def chronological(rows):
+    ts = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0))]
+    return not any(a is not None and b is not None and b < a for a, b in zip(ts, ts[1:]))
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_chronological_by_ranges_of_the_order(spark, block, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    data = {}
+    for k in range(60):  # long runs upward with a step back, a null or nothing at one place; orders far apart
+        n = int(rng.integers(1, 40))
+        ts = [*range(n)]
+        if k % 3:
+            ts[int(rng.integers(n))] = None if k % 3 == 1 else -1
+        data[k or None] = list(zip([int(o) for o in np.sort(rng.choice(10**12, n, replace=False))], ts))
+    data[7].append((None, 99))
+    data[8].append((None, -2))
+    df = spark.createDataFrame([(k, o, t) for k, rs in data.items() for o, t in rs], "k int, o long, t long").repartition(5)
+    got = {r.k: r.is_chronological for r in C.is_chronological(df, "o", ("k",)).collect()}
+    assert got == {k: chronological(rs) for k, rs in data.items()} and len(set(got.values())) == 2
+    for k in (1, 2, 3, 8):
+        assert C.is_chronological(df.where(F.col("k") == k), "o").collect() == [(chronological(data[k]),)]
+    assert C.is_chronological(df.where("k = 3").withColumn("o", F.format_string("%015d", "o")), "o").first()[0]
+    assert C.is_chronological(df.limit(0), "o").collect() == [(True,)]
+
+
+def test_no_task_holds_the_rows_of_an_order(spark):
+    """Windows of the rows go by blocks; those over a whole key are over blocks of blocks."""
+    a = series(spark, range(50)).withColumn("o", F.col("t"))
+    for df in (C.is_chronological(a, "o"), C.guess_freq(a.select(F.timestamp_seconds(F.col("t")).alias("ts")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all("__b" in w or "__p" in w for w in plan.splitlines() if "Window " in w) and plan.count("Window ") == 3 and "RepartitionByExpression" in plan
+
+
 def test_null_keys_keep_their_values(spark):
     df = C.with_freq(spark.createDataFrame([(None, 1, 1.0), (None, 3, 3.0), ("a", 1, 5.0), ("a", 2, 6.0)], "k string, t long, x double"), "D")
     filled = A.fill_missing_dates(df, ("k",))

@@ -84,6 +84,27 @@ def numbered(df: DataFrame, keys: Sequence[str] = (), name: str = "pos") -> Data
     return scanned(df, keys, {name: total(F.lit(1).cast("long"))}).withColumn(name, F.col(name) - 1)
 
 
+def neighbours(df: DataFrame, keys: Sequence[str], order: str, x: str, made: Mapping[str, Callable]) -> DataFrame:
+    """A row for each key: aggregates over pairs of neighbouring rows in an order of any type, nulls last, rows alike in
+    it by x. made gives, by name, a function of x in the row before and in the row that makes a Scan. Rows are dealt out
+    by ranges of the order and numbered; a block of them is then its aggregates, its first x and its last x, and so is a
+    block of blocks. The topmost level has a row for every BLOCK * BLOCK rows and one for every range."""
+    at = F.col("__o").asc_nulls_last()
+    own = df.select(*keys, F.col(order).alias("__o"), F.col(x).alias("__first")).repartitionByRange(*keys, at).sortWithinPartitions(*keys, at, "__first")
+    out = own.select(*keys, F.monotonically_increasing_id().alias("__p"), "__first", F.col("__first").alias("__last"))
+    have: list[str] = []
+    for level in (1, 2, 0):
+        out = out.withColumn("__b", F.expr(f"__p div {BLOCK**level}")) if level else out
+        part = [*keys, "__b"] if level else keys
+        before = F.lag("__last").over(Window.partitionBy(*part).orderBy("__p"))
+        pairs = {n: f(F.col("__before"), F.col("__first")) for n, f in made.items()}
+        rows = out.withColumn("__before", before).withColumns({f"__v_{n}": s.value for n, s in pairs.items()})
+        ends = [F.min_by("__first", "__p").alias("__first"), F.max_by("__last", "__p").alias("__last"), F.min("__p").alias("__p")] if level else []
+        out = rows.groupBy(*part).agg(*[s.join(s.agg(F.col(n)), s.agg(F.col(f"__v_{n}"))).alias(n) if n in have else s.agg(F.col(f"__v_{n}")).alias(n) for n, s in pairs.items()], *ends)
+        have = list(made)
+    return out.select(*keys, *made)
+
+
 def framed(df: DataFrame, keys: Sequence[str], before: int, after: int, make: Mapping[str, Callable], block: int = BLOCK) -> DataFrame:
     """df with row-window columns that look at most so many rows back and ahead. make gives, by name, a
     function of the ordered window."""
