@@ -15,6 +15,7 @@ from tidewheel.operators import corr as R
 from tidewheel.operators import interp as I
 from tidewheel.operators import moving as M
 from tidewheel.operators import resample as S
+from tidewheel.sources.tables import ROW, in_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +51,21 @@ def users_full(spark, d):
     return A.fill_missing_dates(users_daily(spark, d), U)
 
 
+# where the last digit of a sum decides (ranks, whole numbers, thresholds), it is added up in the order of the table's
+# rows, as the SQL does in one thread
+
+
+def orders_in_rows(spark, d, freq="D"):
+    o = in_rows(spark, f"{d}/orders.parquet", P.to_period("o_orderdate", freq).alias("t"), F.col("o_totalprice").alias("x"))
+    return C.with_freq(C.dealt(o, ["t"], ROW).groupBy("t").agg(F.sum("x").alias("x")), freq)
+
+
+def users_in_rows(spark, d):
+    e = in_rows(spark, f"{d}/events.parquet", "user_id", P.to_period("ts", "D").alias("t"), F.col("value").alias("x"), "event_type").where("event_type = 'purchase'").drop("event_type")
+    sums = C.dealt(e, ["user_id", "t"], ROW).groupBy("user_id", "t").agg(F.sum("x").alias("x"))
+    return A.fill_missing_dates(C.with_freq(sums, "D"), U)
+
+
 def rounded(df, n=4):
     """Doubles rounded and without a negative zero."""
     return df.select(*[(F.round(c, n) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
@@ -152,7 +168,7 @@ query("cumsum", lambda s, d: A.cumsum(users_full(s, d), "x", U), "SELECT user_id
 query("cumprod", lambda s, d: A.cumprod(users_full(s, d).withColumn("x", 1 + F.col("x") / 1e6), "x", U), "SELECT user_id, t, round(CASE WHEN x IS NOT NULL THEN product(1 + x / 1e6) OVER (PARTITION BY user_id ORDER BY t) END, 4) AS x FROM uf", "uf")
 query("anom", lambda s, d: A.anom(users_full(s, d), "x", U), "SELECT user_id, t, round(x - avg(x) OVER (PARTITION BY user_id), 7) + 0.0 AS x FROM uf", "uf", digits=7)
 query("across", lambda s, d: A.across(A.align_series(orders_daily(s, d), ship_daily(s, d)), ["x", "y"], "sum", "total").select("t", "total"), "SELECT s.t, round(CASE WHEN x IS NOT NULL OR y IS NOT NULL THEN coalesce(x, 0) + coalesce(y, 0) END, 4) AS total FROM (SELECT unnest(range(min(t), max(t) + 1)) AS t FROM (SELECT t FROM od UNION ALL SELECT t FROM ld)) s LEFT JOIN od ON od.t = s.t LEFT JOIN ld ON ld.t = s.t", "od", "ld")
-query("argsort", lambda s, d: A.ranked(users_full(s, d), "x", U).select("user_id", "t", "rank"), "SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY x NULLS LAST, t) - 1 AS rank FROM uf", "uf")
+query("argsort", lambda s, d: A.ranked(users_in_rows(s, d), "x", U).select("user_id", "t", "rank"), "SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY x NULLS LAST, t) - 1 AS rank FROM uf", "uf")
 
 # resampling
 _M = f"((year({of_day('t')}) - 1) * 12 + month({of_day('t')}))::BIGINT"

@@ -18,7 +18,7 @@ from tidewheel.operators import moving as M
 from tidewheel.operators import resample as S
 from tidewheel.sources import tables, text
 
-from .catalogue import _AVF, U, _read, day, of_day, orders_daily, orders_monthly, query, users_full
+from .catalogue import _AVF, U, _read, day, of_day, orders_daily, orders_in_rows, orders_monthly, query, users_full, users_in_rows
 from .ticks import ticks
 
 
@@ -108,7 +108,7 @@ query("take", lambda s, d: A.take(orders_daily(s, d), [7, 2, 7]), "SELECT t, rou
 query("repeat", lambda s, d: A.repeat(orders_monthly(s, d), 3), "SELECT t, round(x, 4) AS x FROM om, range(3)", "om")
 query("searchsorted", lambda s, d: A.searchsorted(orders_daily(s, d), [728659, 729000, 1]), "SELECT date::BIGINT AS date, (SELECT count(*) FROM od WHERE t < date) AS pos FROM (SELECT unnest([728659, 729000, 1]) AS date)", "od")
 query("unary", lambda s, d: orders_daily(s, d).select("t", (-F.col("x")).alias("neg"), F.abs(1e5 - F.col("x")).alias("abs"), F.pmod(F.floor("x"), F.lit(7)).alias("mod"), F.floor("x").bitwiseAND(F.lit(12)).alias("bits")), "SELECT t, round(-x, 4) AS neg, round(abs(1e5 - x), 4) AS abs, floor(x)::BIGINT % 7 AS mod, floor(x)::BIGINT & 12 AS bits FROM od", "od")
-query("all_any", lambda s, d: A.all_any(users_full(s, d).withColumn("x", F.col("x") > 50), "x", U), "SELECT user_id, bool_and(x > 50) AS all, bool_or(x > 50) AS any FROM uf GROUP BY 1", "uf")
+query("all_any", lambda s, d: A.all_any(users_in_rows(s, d).withColumn("x", F.col("x") > 50), "x", U), "SELECT user_id, bool_and(x > 50) AS all, bool_or(x > 50) AS any FROM uf GROUP BY 1", "uf")
 query("product", lambda s, d: A.stats(users_full(s, d).withColumn("x", 1 + F.col("x") / 1e6), "x", U).select("user_id", "prod"), "SELECT user_id, round(product(1 + x / 1e6), 8) AS prod FROM uf GROUP BY 1", "uf", digits=8)
 
 # conversion

@@ -64,3 +64,18 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     return df.select(F.col("_dates").cast("long").alias("t"), F.when(~F.col("_mask").cast("boolean"), F.col("_data")).alias("x"))
+
+
+#: Where a row of a Parquet table stands: its file by name, its place in the file.
+ROW = ("__file", "__row")
+
+
+def in_rows(spark: SparkSession, path: str, *columns) -> DataFrame:
+    """Columns of a Parquet table, and ROW."""
+    df = spark.read.parquet(path)
+    files = sorted(df.inputFiles())
+    out = df.select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    if len(files) < 2:
+        return out.withColumn("__file", F.lit(0)).drop("__path")
+    names = spark.createDataFrame(list(enumerate(files)), "__file int, __path string")
+    return out.join(F.broadcast(names), "__path", "left").drop("__path")
