@@ -1,13 +1,16 @@
 """Sums whose last digit decides are those of the SQL run by one thread, over whatever files and tasks the rows lie."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from tests.compare import same
+from tidewheel.operators import align as A
 from tidewheel.plans import catalogue
 
 
@@ -54,3 +57,41 @@ def tenths(tmp_path_factory):
 @pytest.mark.parametrize("name", ["argsort", "all_any"])
 def test_sums_of_users(spark, tenths, name):
     check(spark, tenths, name, "events")
+
+
+def ties(n):
+    """Series of 16 days whose variances lie, as decimals, midway between two of six digits."""
+    rng, out = np.random.default_rng(1), []
+    while len(out) < n:
+        cents = [int(c) for c in rng.integers(1, 30000, 16)]
+        if (16 * sum(c * c for c in cents) - sum(cents) ** 2) % 64 == 32:
+            out.append([c / 100 for c in cents])
+    return out
+
+
+def welford(xs):
+    m = q = 0.0
+    for n, x in enumerate(xs, 1):
+        m, old = m + (x - m) / n, m
+        q += (x - m) * (x - old)
+    return q / len(xs)
+
+
+def test_variances_of_users(spark, tmp_path):
+    series = ties(100)
+    rows = [(dt.datetime(2024, 1, 1 + k), u, x) for u, xs in enumerate(series) for k, x in enumerate(xs)]
+    rows = sorted(rows, key=lambda r: (r[0].day * 7 % 17, r[1]))
+    table(tmp_path, "events", [(i, t, u, "purchase", x) for i, (t, u, x) in enumerate(rows)], EVENTS)
+    got = {r.user_id: r["var"] for r in catalogue.QUERIES["series_stats"](spark, str(tmp_path)).collect()}
+    half_up = lambda v: float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    assert got == {u: half_up(welford(xs)) for u, xs in enumerate(series)}
+
+
+def test_statistics_in_date_order(spark):
+    rows = [(None, t, x) for t, x in enumerate(ties(1)[0])] + [(1, 5, None), (2, 3, 0.5), (2, 9, None), (2, 4, 1.5)]
+    df = spark.createDataFrame(rows, "k int, t long, x double").repartition(5)
+    want, got = ({r.k: r for r in A.stats(df, "x", ("k",), ordered).collect()} for ordered in (False, True))
+    assert want.keys() == got.keys() == {None, 1, 2}
+    for k, r in got.items():
+        assert [v if v is None else pytest.approx(v) for v in want[k]] == list(r)
+    assert A.stats(df.where("k = 1"), "x", (), True).drop("count").first() == (None,) * 10

@@ -170,15 +170,31 @@ def pct_symmetric(df: DataFrame, nper: int = 1, keys: Sequence[str] = (), block:
 # statistics along dates
 
 
-def stats(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """sum prod mean var std count min max ptp, and the dates of the extremes; nulls don't count."""
+def stats(df: DataFrame, x: str, keys: Sequence[str] = (), ordered: bool = False) -> DataFrame:
+    """sum prod mean var std count min max ptp, and the dates of the extremes; nulls don't count. ordered: sum, mean and
+    variance (by Welford's updates) take values in the order of dates, so that their last digits don't change with tasks;
+    a key's values are then an array, one for each of its dates."""
     v = F.col(x)
+    some = v.isNotNull()
+    made = {"sum": F.sum(v), "mean": F.avg(v), "var": F.var_pop(v), "std": F.stddev_pop(v)}
+    if ordered:
+        v0 = F.lit(0.0)
+        runs = F.sort_array(F.collect_list(F.when(some, F.struct("t", v.cast("double").alias("v")))))
+        run = F.aggregate(runs, F.struct(v0.alias("n"), v0.alias("sum"), v0.alias("m"), v0.alias("q")), _welford)
+        n = F.when(F.count(v) > 0, F.count(v))
+        made = {"sum": F.when(n > 0, run["sum"]), "mean": run["sum"] / n, "var": run["q"] / n, "std": F.sqrt(run["q"] / n)}
     return df.groupBy(*keys).agg(
-        F.sum(v).alias("sum"), F.product(v).alias("prod"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.stddev_pop(v).alias("std"), F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("ptp"),
-        F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("t")))).getField("t").alias("argmin"), F.min(F.when(v.isNotNull(), F.struct((-v).alias("v"), F.col("t")))).getField("t").alias("argmax"),
+        made["sum"].alias("sum"), F.product(v).alias("prod"), *[made[n].alias(n) for n in ("mean", "var", "std")], F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("ptp"),
+        F.min(F.when(some, F.struct(v.alias("v"), F.col("t")))).getField("t").alias("argmin"), F.min(F.when(some, F.struct((-v).alias("v"), F.col("t")))).getField("t").alias("argmax"),
     )
 
 
+def _welford(s: Column, e: Column) -> Column:
+    v, n = e["v"], s["n"] + 1
+    m = s["m"] + (v - s["m"]) / n
+    return F.struct(n.alias("n"), (s["sum"] + v).alias("sum"), m.alias("m"), (s["q"] + (v - m) * (v - s["m"])).alias("q"))
+
+
 def all_any(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.bool_and(F.col(x).cast("boolean")).alias("all"), F.bool_or(F.col(x).cast("boolean")).alias("any"))
 

@@ -163,7 +163,7 @@ query("pct_log", lambda s, d: A.pct_log(users_full(s, d), 1, U), f"SELECT user_i
 query("pct_symmetric", lambda s, d: A.pct_symmetric(users_full(s, d), 2, U), f"SELECT user_id, t, round(2 * (x - {_LAG.format(n=2)}) / nullif(x + {_LAG.format(n=2)}, 0), 4) AS x FROM uf", "uf")
 
 # statistics
-query("series_stats", lambda s, d: A.stats(users_full(s, d), "x", U).drop("prod"), "SELECT user_id, round(sum(x), 6) AS sum, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var, round(stddev_pop(x), 6) AS std, count(x) AS count, round(min(x), 6) AS min, round(max(x), 6) AS max, round(max(x) - min(x), 6) AS ptp, arg_min(t, x) AS argmin, arg_max(t, x) AS argmax FROM uf GROUP BY 1", "uf", digits=6)
+query("series_stats", lambda s, d: A.stats(users_in_rows(s, d), "x", U, ordered=True).drop("prod"), "SELECT user_id, round(sum(x), 6) AS sum, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var, round(stddev_pop(x), 6) AS std, count(x) AS count, round(min(x), 6) AS min, round(max(x), 6) AS max, round(max(x) - min(x), 6) AS ptp, arg_min(t, x) AS argmin, arg_max(t, x) AS argmax FROM uf GROUP BY 1", "uf", digits=6)
 query("cumsum", lambda s, d: A.cumsum(users_full(s, d), "x", U), "SELECT user_id, t, round(CASE WHEN x IS NOT NULL THEN sum(x) OVER (PARTITION BY user_id ORDER BY t) END, 4) AS x FROM uf", "uf")
 query("cumprod", lambda s, d: A.cumprod(users_full(s, d).withColumn("x", 1 + F.col("x") / 1e6), "x", U), "SELECT user_id, t, round(CASE WHEN x IS NOT NULL THEN product(1 + x / 1e6) OVER (PARTITION BY user_id ORDER BY t) END, 4) AS x FROM uf", "uf")
 query("anom", lambda s, d: A.anom(users_full(s, d), "x", U), "SELECT user_id, t, round(x - avg(x) OVER (PARTITION BY user_id), 7) + 0.0 AS x FROM uf", "uf", digits=7)
