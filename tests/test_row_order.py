@@ -12,6 +12,7 @@ import pytest
 from tests.compare import same
 from tidewheel.operators import align as A
 from tidewheel.plans import catalogue
+from tidewheel.sources.tables import ROW, in_rows
 
 
 def table(d, name, rows, columns, files=4):
@@ -95,3 +96,15 @@ def test_statistics_in_date_order(spark):
     for k, r in got.items():
         assert [v if v is None else pytest.approx(v) for v in want[k]] == list(r)
     assert A.stats(df.where("k = 1"), "x", (), True).drop("count").first() == (None,) * 10
+
+
+def test_sums_of_orders(spark, tmp_path):
+    """Days of 0.1 added ten or more times, in amounts whose whole part depends on the order."""
+    days = [dt.datetime(1997, 1, 1) + dt.timedelta(i) for i in range(200)]
+    rows = [(t, 0.1 * (1 + j % 3) + 0.7 * (k % 5)) for k in range(10) for j, t in enumerate(days)]
+    rows += [(t, 1e5 - 1 + 0.01 * (k + 1)) for k in range(20) for t in days[::9]]
+    table(tmp_path, "orders", [(i, t, x) for i, (t, x) in enumerate(rows)], {"o_orderkey": pa.int64(), "o_orderdate": pa.timestamp("us"), "o_totalprice": pa.float64()})
+    at = in_rows(spark, f"{tmp_path}/orders.parquet", "o_orderkey").sort(*ROW).collect()
+    assert [r.o_orderkey for r in at] == [*range(len(rows))] and {r["__file"] for r in at} == {0, 1, 2, 3}
+    for name in ("unary", "clip_round", "mask_by_condition", "field_access", "report"):
+        check(spark, tmp_path, name, "orders")

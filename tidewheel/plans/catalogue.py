@@ -129,7 +129,7 @@ query("slice_by_date", lambda s, d: C.between(orders_daily(s, d), 728659, 729000
 query("slice_pruned", lambda s, d: _read(s, d, "orders", "o_orderkey", "o_orderdate").where(P.in_periods("o_orderdate", "Q", 7985, 7986)).select("o_orderkey", P.to_period("o_orderdate", "Q").alias("t")), "SELECT o_orderkey, ((year(o_orderdate) - 1) * 4 + quarter(o_orderdate))::BIGINT AS t FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-07-01'")
 query("slice_positional", lambda s, d: C.positions(orders_daily(s, d), 10, 200, 3), "SELECT t, round(x, 4) AS x FROM (SELECT *, row_number() OVER (ORDER BY t) - 1 AS pos FROM od) WHERE pos >= 10 AND pos < 200 AND (pos - 10) % 3 = 0", "od")
 query("find_dates", lambda s, d: C.find_dates(orders_daily(s, d), [728659, 728700, 1]), "SELECT t, pos::BIGINT AS pos FROM (SELECT *, row_number() OVER (ORDER BY t) - 1 AS pos FROM od) WHERE t IN (728659, 728700, 1)", "od")
-query("mask_by_condition", lambda s, d: C.assign(orders_daily(s, d), F.col("x") > 1e6, None, "x"), "SELECT t, round(CASE WHEN x > 1e6 THEN NULL ELSE x END, 4) AS x FROM od", "od")
+query("mask_by_condition", lambda s, d: C.assign(orders_in_rows(s, d), F.col("x") > 1e6, None, "x"), "SELECT t, round(CASE WHEN x > 1e6 THEN NULL ELSE x END, 4) AS x FROM od", "od")
 query("compressed", lambda s, d: C.compressed(users_full(s, d), U), "SELECT user_id, t, round(x, 4) AS x FROM ud", "ud")
 query("filled", lambda s, d: C.filled(users_full(s, d), -1.0, U), "SELECT user_id, t, round(coalesce(x, -1), 4) AS x FROM uf", "uf")
 query("first_last_valid", lambda s, d: C.first_last_valid(users_full(s, d), "x", U), "SELECT user_id, round(arg_min(x, t), 4) AS first_valid, round(arg_max(x, t), 4) AS last_valid FROM ud GROUP BY 1", "ud")
@@ -236,7 +236,7 @@ from tidewheel.sources.tables import tabulate  # noqa: E402
 from tidewheel.streaming.windows import convert_stream, sliding  # noqa: E402
 
 query("torecords", lambda s, d: tabulate(users_full(s, d), 0.0, U), "SELECT user_id, t AS _dates, round(coalesce(x, 0), 4) AS _data, x IS NULL AS _mask FROM uf", "uf")
-query("report", lambda s, d: report(orders_monthly(s, d), header=["month", "total"], width=12, fmt=lambda c: F.round(c, 0).cast("long").cast("string"), footer=F.max, footer_label="max", row_char="."), f", l AS (SELECT t, rpad(strftime(make_date(((t - 1) // 12 + 1)::INTEGER, ((t - 1) % 12 + 1)::INTEGER, 1), '%b-%Y'), 12, ' ') || ' | ' || lpad(round(x)::BIGINT::VARCHAR, 12, ' ') AS line FROM om) SELECT 0::INT AS section, NULL::BIGINT AS pos, 0::INT AS part, 'month        | total       ' AS line UNION ALL SELECT 1, NULL, 0, repeat('-', 27) UNION ALL SELECT 2, t, 0, line FROM l UNION ALL SELECT 2, t, 1, repeat('.', 27) FROM l WHERE t < (SELECT max(t) FROM l) UNION ALL SELECT 3, NULL, 0, repeat('-', 27) UNION ALL SELECT 4, NULL, 0, 'max          | ' || lpad((SELECT round(max(x))::BIGINT::VARCHAR FROM om), 12, ' ')", "om")
+query("report", lambda s, d: report(orders_in_rows(s, d, "M"), header=["month", "total"], width=12, fmt=lambda c: F.round(c, 0).cast("long").cast("string"), footer=F.max, footer_label="max", row_char="."), f", l AS (SELECT t, rpad(strftime(make_date(((t - 1) // 12 + 1)::INTEGER, ((t - 1) % 12 + 1)::INTEGER, 1), '%b-%Y'), 12, ' ') || ' | ' || lpad(round(x)::BIGINT::VARCHAR, 12, ' ') AS line FROM om) SELECT 0::INT AS section, NULL::BIGINT AS pos, 0::INT AS part, 'month        | total       ' AS line UNION ALL SELECT 1, NULL, 0, repeat('-', 27) UNION ALL SELECT 2, t, 0, line FROM l UNION ALL SELECT 2, t, 1, repeat('.', 27) FROM l WHERE t < (SELECT max(t) FROM l) UNION ALL SELECT 3, NULL, 0, repeat('-', 27) UNION ALL SELECT 4, NULL, 0, 'max          | ' || lpad((SELECT round(max(x))::BIGINT::VARCHAR FROM om), 12, ' ')", "om")
 query("convert_stream", lambda s, d: convert_stream(_read(s, d, "events", "user_id", "ts", "value"), "ts", "value", "D", "sum", keys=U), f"SELECT user_id, {day('ts')} AS t, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 query("sliding", lambda s, d: sliding(_read(s, d, "events", "ts", "value"), "ts", "value", "2 hours", "1 hour").select(F.unix_timestamp("start").alias("start"), "count"), "SELECT epoch(h)::BIGINT AS start, count(*) AS count FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS h FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1")
 

@@ -100,14 +100,14 @@ query("records_from_rows", lambda s, d: C.records(s, [(1, "u"), (2, "v")], "D",
 
 # element access and shapes
 query("at_dates", lambda s, d: C.at_dates(orders_daily(s, d), [728659, 728700, 1]), "SELECT t, round(x, 4) AS x FROM od WHERE t IN (728659, 728700, 1)", "od")
-query("field_access", lambda s, d: A.stack(orders_daily(s, d), orders_daily(s, d).withColumnRenamed("x", "y")).select("t", "y").where("y > 1e5"), "SELECT t, round(x, 4) AS y FROM od WHERE x > 1e5", "od")
+query("field_access", lambda s, d: A.stack(orders_daily(s, d), orders_in_rows(s, d).withColumnRenamed("x", "y")).select("t", "y").where("y > 1e5"), "SELECT t, round(x, 4) AS y FROM od WHERE x > 1e5", "od")
 query("split_series", lambda s, d: C.split(A.stack(orders_daily(s, d), orders_daily(s, d).withColumn("y", -F.col("x")).drop("x")))[1], "SELECT t, round(-x, 4) AS y FROM od", "od")
 query("flatten", lambda s, d: C.flatten(orders_daily(s, d).select("t", F.array("x", 2 * F.col("x")).alias("x")), "x"), "SELECT t, k::INT AS cell, round((k + 1) * x, 4) AS x FROM od, (SELECT unnest([0, 1]) AS k)", "od")
-query("clip_round", lambda s, d: A.rounded(A.clip(orders_daily(s, d), "x", 1e5, 1e6), "x", -2), "SELECT t, round_even(least(greatest(x, 1e5), 1e6) / 100, 0) * 100 AS x FROM od", "od")
+query("clip_round", lambda s, d: A.rounded(A.clip(orders_in_rows(s, d), "x", 1e5, 1e6), "x", -2), "SELECT t, round_even(least(greatest(x, 1e5), 1e6) / 100, 0) * 100 AS x FROM od", "od")
 query("take", lambda s, d: A.take(orders_daily(s, d), [7, 2, 7]), "SELECT t, round(x, 4) AS x, place FROM (SELECT *, row_number() OVER (ORDER BY t) - 1 AS pos FROM od) JOIN (SELECT unnest([7, 2, 7]) AS pos, unnest([0, 1, 2])::BIGINT AS place) USING (pos)", "od")
 query("repeat", lambda s, d: A.repeat(orders_monthly(s, d), 3), "SELECT t, round(x, 4) AS x FROM om, range(3)", "om")
 query("searchsorted", lambda s, d: A.searchsorted(orders_daily(s, d), [728659, 729000, 1]), "SELECT date::BIGINT AS date, (SELECT count(*) FROM od WHERE t < date) AS pos FROM (SELECT unnest([728659, 729000, 1]) AS date)", "od")
-query("unary", lambda s, d: orders_daily(s, d).select("t", (-F.col("x")).alias("neg"), F.abs(1e5 - F.col("x")).alias("abs"), F.pmod(F.floor("x"), F.lit(7)).alias("mod"), F.floor("x").bitwiseAND(F.lit(12)).alias("bits")), "SELECT t, round(-x, 4) AS neg, round(abs(1e5 - x), 4) AS abs, floor(x)::BIGINT % 7 AS mod, floor(x)::BIGINT & 12 AS bits FROM od", "od")
+query("unary", lambda s, d: orders_in_rows(s, d).select("t", (-F.col("x")).alias("neg"), F.abs(1e5 - F.col("x")).alias("abs"), F.pmod(F.floor("x"), F.lit(7)).alias("mod"), F.floor("x").bitwiseAND(F.lit(12)).alias("bits")), "SELECT t, round(-x, 4) AS neg, round(abs(1e5 - x), 4) AS abs, floor(x)::BIGINT % 7 AS mod, floor(x)::BIGINT & 12 AS bits FROM od", "od")
 query("all_any", lambda s, d: A.all_any(users_in_rows(s, d).withColumn("x", F.col("x") > 50), "x", U), "SELECT user_id, bool_and(x > 50) AS all, bool_or(x > 50) AS any FROM uf GROUP BY 1", "uf")
 query("product", lambda s, d: A.stats(users_full(s, d).withColumn("x", 1 + F.col("x") / 1e6), "x", U).select("user_id", "prod"), "SELECT user_id, round(product(1 + x / 1e6), 8) AS prod FROM uf GROUP BY 1", "uf", digits=8)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,12 +71,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
 #: Where a row of a Parquet table stands: its file by name, its place in the file.
 ROW = ("__file", "__row")
 
+#: A path's scheme and the slashes after it, which Spark writes in two ways.
+_ROOT = "^[^:/]*:/*"
+
 
 def in_rows(spark: SparkSession, path: str, *columns) -> DataFrame:
     """Columns of a Parquet table, and ROW."""
     df = spark.read.parquet(path)
-    files = sorted(df.inputFiles())
-    out = df.select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    files = sorted({re.sub(_ROOT, "", f) for f in df.inputFiles()}, key=unquote)
+    out = df.select(*columns, F.regexp_replace("_metadata.file_path", _ROOT, "").alias("__path"), F.col("_metadata.row_index").alias("__row"))
     if len(files) < 2:
         return out.withColumn("__file", F.lit(0)).drop("__path")
     names = spark.createDataFrame(list(enumerate(files)), "__file int, __path string")
